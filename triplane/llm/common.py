@@ -47,3 +47,13 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns added that are computed once a row, however often or wherever they are used.
+
+    Catalyst copies expressions into filters above a projection and into lambdas; it copies nothing through a generator.
+    """
+    name = fresh(df, "_once")
+    made = df.select("*", F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))).alias(name))
+    return made.select("*", *(F.col(name)[k].alias(k) for k in columns)).drop(name)

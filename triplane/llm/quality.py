@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from triplane.llm.common import table, words
+from triplane.llm.common import once, table, words
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Width of the sketches' buckets: quantiles have a relative error of at most 1 %.
@@ -20,14 +20,14 @@ GAMMA = 1.02
 LEAST_DOCS = 30
 #: Fences stand this many quartile distances, of at least the given width, beyond the quartiles.
 REACH = 4.0
-WIDTH = {"symbols": 0.02, "dup_lines": 0.08, "repeats": 0.08, "word_length": 1.5}
+WIDTH = {"symbols": 0.02, "dup_lines": 0.08, "repeats": 0.25, "word_length": 1.5}
 LOWER = ("word_length",)
 
 
-def _repeat_words(found: str) -> Column:
-    """Words of ``found`` that are in a three-word window which the text has twice or more."""
+def _windows(found: str) -> Column:
+    """A hash of each three-word window."""
     window = F.transform(found, lambda w, i: F.xxhash64(w, F.get(found, i + 1), F.get(found, i + 2)))
-    return F.when(F.size(found) < 4, F.array().cast("array<bigint>")).otherwise(F.slice(window, 1, F.greatest(F.size(found) - 2, F.lit(1))))
+    return F.slice(window, 1, F.greatest(F.size(found) - 2, F.lit(0)))
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -37,29 +37,27 @@ def measure(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    base = docs.select(
-        "*",
-        words(F.col("text")).alias("_words"),
-        (F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        lines.alias("_lines"),
-    )
-    hashed = base.select(
-        "*",
-        F.size("_words").cast("long").alias("n_words"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words("_words").alias("_windows"),
+    base = once(
+        docs,
+        _words=words(F.col("text")),
+        word_chars=(F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("long"),
+        n_symbols=F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
+        _lines=lines,
     )
+    hashed = once(
+        base,
+        n_words=F.size("_words").cast("long"),
+        n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        _windows=_windows("_words"),
+    ).drop("_words", "_lines")
     # Windows sorted with their places: those next to an equal one repeat. Most texts have none, which is cheap to see.
-    pairs = F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     some = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    sorted_ = hashed.withColumn("_pairs", F.when(some, pairs))
+    pairs = once(hashed, _pairs=F.when(some, F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("_windows")
     same = lambda x, i: (F.get("_pairs", i - 1)["h"].eqNullSafe(x["h"])) | (F.get("_pairs", i + 1)["h"].eqNullSafe(x["h"]))
-    places = sorted_.withColumn("_places", F.array_sort(F.transform(F.filter("_pairs", same), lambda x: x["i"])))
-    covered = F.aggregate(
-        F.transform("_places", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_places", i + 1) - p, F.lit(3)))), F.lit(0), lambda a, b: a + b
-    )
-    return places.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_words", "_lines", "_windows", "_pairs", "_places")
+    places = once(pairs, _places=F.array_sort(F.transform(F.filter("_pairs", same), lambda x: x["i"]))).drop("_pairs")
+    steps = F.transform("_places", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_places", i + 1) - p, F.lit(3))))
+    covered = F.aggregate(steps, F.lit(0), lambda a, b: a + b)
+    return once(places, n_repeat_words=F.coalesce(covered, F.lit(0)).cast("long")).drop("_places")
 
 
 def measures() -> dict[str, Column]:
@@ -110,7 +108,7 @@ def judge(docs: DataFrame) -> DataFrame:
     by ``lang`` and ``source`` (nulls form groups of their own); where such a group, or its language, is too small, the
     next larger one's hold, and where all are, every document is within. Columns of the names added are replaced.
     """
-    new = ["word_chars", "n_symbols", "n_dup_lines", "n_words", "n_repeat_words", "base_failed", "kept", "_words", "_lines", "_windows", "_pairs", "_places", "_fail"]
+    new = ["word_chars", "n_symbols", "n_dup_lines", "n_words", "n_repeat_words", "base_failed", "kept", "_words", "_lines", "_windows", "_pairs", "_places"]
     by = ["lang", "source"]
     rows = measure(docs.drop(*new)).withColumn("base_failed", base_failed())
     passed = measure(docs.select(*by, "text")).where(~base_failed()).select(*by, *(c.alias(m) for m, c in measures().items()))
