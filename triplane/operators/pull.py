@@ -214,7 +214,7 @@ def _tree(db: Database, pattern: Pattern, name: str) -> DataFrame:
             facts = facts.select(F.col("v").alias("e"), F.col("e").alias("v"))
         value = F.struct(F.col("v").alias(":db/id")) if (a.ref or s.reverse) else F.col("v")
         inner = s.nested or (["*"] if a.component and not s.reverse else None)
-        if inner:
+        if inner and [str(x) for x in inner] != [":db/id"]:
             below = _tree(db, parse(inner), "_below")
             facts = facts.join(below, facts["v"] == below["_id"]).drop("_id")
             value = F.col("_below")
