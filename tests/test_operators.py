@@ -220,3 +220,38 @@ def test_windows(spark):
     df = spark.createDataFrame([("a", "2024-01-01 00:01:00"), ("a", "2024-01-01 00:04:00"), ("a", "2024-01-01 01:00:00")], "k string, t string").withColumn("t", F.to_timestamp("t"))
     assert sorted(r.n for r in log.windowed(df, "t", "10 minutes", "k").collect()) == [1, 2]
     assert sorted(r.n for r in log.sessions(df, "t", "5 minutes", "k").collect()) == [1, 2]
+
+
+def test_analyzers(spark):
+    from triplane.operators import analysis as a
+
+    df = spark.createDataFrame([("The Élan running ponies",)], "t string")
+    terms = lambda *fs: [x.term for x in df.select(a.create_analyzer(filters=fs)(F.col("t")).alias("x")).first().x]
+    assert terms(a.lower_case, a.unaccent, a.stop_words()) == ["elan", "running", "ponies"]
+    assert terms(a.min_length(4), a.max_length(6)) == ["Élan", "ponies"]
+    assert terms(a.max_length(3), a.prefixes) == ["T", "Th", "The"] and terms(a.max_length(3), a.ngrams(2, 3)) == ["Th", "he", "The"]
+    assert terms(a.lower_case, a.english_stem())[2:] == ["run", "poni"]
+    rows = spark.createDataFrame([(1, "Running ponies"), (2, "walking")], "doc long, text string")
+    assert [r.doc for r in search.search(search.build(rows, a.create_analyzer(filters=[a.lower_case, a.english_stem()])), "run").collect()] == [1]
+
+
+def test_embeddings(spark):
+    from triplane.operators import embedding
+
+    provider = embedding.HashEmbedding(32)
+    (v,) = provider.embed(["red fox"])
+    assert len(v) == 32 and sum(x * x for x in v) == pytest.approx(1) and embedding.token_count(provider, "a b c") == 3 and embedding.truncate(provider, "a b c", 2) == "a b"
+    db = from_entities(spark, [{":db/id": i, ":text": t} for i, t in TEXTS], {":text": {":db/embedding": True}})
+    got = answer('[:find ?e ?d :where [(embedding-neighbors $ :text "Moby Dick is a story" {:top 1 :display :refs+dists}) [[?e _ _ ?d]]]]', db)
+    assert got[0][0] == 3 and 0 <= got[0][1] < 0.6
+
+    class Short:
+        context_size = 12
+
+        def tokens(self, text):
+            return text.split()
+
+        def generate(self, prompt, limit):
+            return " ".join(prompt.split()[1 : 1 + min(limit, 2)])
+
+    assert embedding.summarize(Short(), " ".join(map(str, range(40))), 4).startswith("0")

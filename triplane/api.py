@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from triplane.catalog import Database, from_entities, open_star
 import triplane.operators.attributes
+import triplane.operators.embedding
 import triplane.operators.idoc
 import triplane.operators.search
 import triplane.operators.vectors  # noqa: F401  their functions join the query language

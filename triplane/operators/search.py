@@ -7,6 +7,9 @@ document, and takes the top by the number of required terms found and then by sc
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -33,8 +36,6 @@ def tokens(text: Column) -> Column:
 
 def terms_of(text: str) -> list[str]:
     """Terms of a query string, as documents are analysed."""
-    import re
-
     return [w for w in re.split(PUNCTUATION, text.lower()) if w and w not in STOP_WORDS and len(w) <= LONGEST]
 
 
@@ -62,9 +63,9 @@ class Index:
         return Index(self.postings.where(F.col("doc") != doc), self.docs.where(F.col("doc") != doc), self.size)
 
 
-def build(rows: DataFrame) -> Index:
+def build(rows: DataFrame, analyzer: Callable[[Column], Column] = tokens) -> Index:
     """An index of ``doc, text``; documents without a term are not indexed."""
-    listed = rows.where("text is not null").select("doc", F.explode(tokens(F.col("text"))).alias("t")).select("doc", "t.term", "t.position")
+    listed = rows.where("text is not null").select("doc", F.explode(analyzer(F.col("text"))).alias("t")).select("doc", "t.term", "t.position")
     postings = listed.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
     docs = postings.groupBy("doc").agg(F.count("*").alias("norm"))
     return Index(postings, docs, docs.count())
@@ -139,7 +140,7 @@ def search(index: Index, query: Any, top: int = TOP) -> DataFrame:
         rest = index.docs.join(per_doc, "doc", "left").where(_holds(query, F.coalesce("found", F.create_map().cast("map<string,array<int>>"))))
         return rest.select("doc", F.lit(0.1).alias("score")).orderBy("doc").limit(top)
     counts = {t: (terms_of(query).count(t) if isinstance(query, str) else 1) for t in required}
-    weight = F.create_map(*(x for t, n in counts.items() for x in (F.lit(t), F.lit(1.0 + __import__("math").log10(n)))))
+    weight = F.create_map(*(x for t, n in counts.items() for x in (F.lit(t), F.lit(1.0 + math.log10(n)))))
     mine = hits.where(F.col("term").isin(*required))
     df = mine.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as the query has terms
     scored = mine.join(F.broadcast(df), "term").withColumn("s", weight[F.col("term")] * F.log10(F.lit(float(index.size)) / F.col("df")) * (1 + F.log10("tf")))
