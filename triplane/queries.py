@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from triplane.api import open_star, q
 from triplane.operators import idoc, index, kv, search, vectors
 from triplane.streaming import log
+from triplane.transact import db_with, tx_log, with_
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -230,3 +231,29 @@ def _idoc_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 @native("stream_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL")
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.windowed(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", "1 hour", "event_type")
+
+
+# --- transactions ---
+_NATIONS = "[:find ?e ?n ?r :where [?e :nation/name ?n] [?e :nation/regionkey ?r]]"
+
+
+@native("transact_add", "SELECT CAST(n_nationkey AS BIGINT) AS e, CASE n_nationkey WHEN 3 THEN 'RENAMED' ELSE n_name END AS n, CAST(n_regionkey AS BIGINT) AS r FROM nation UNION ALL SELECT 40, 'ADDED', 2")
+def _transact_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = open_star(spark, sf_dir, "nation")
+    return q(_NATIONS, db_with(db, [[":db/add", 3, ":nation/name", "RENAMED"], {":db/id": 40, ":nation/name": "ADDED", ":nation/regionkey": 2}]))
+
+
+@native("transact_retract", "SELECT CAST(n_nationkey AS BIGINT) AS e, n_name AS n, CAST(n_regionkey AS BIGINT) AS r FROM nation WHERE n_nationkey NOT IN (5, 6)")
+def _transact_retract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = open_star(spark, sf_dir, "nation")
+    return q(_NATIONS, db_with(db, [[":db/retractEntity", 5], [":db/retract", 6, ":nation/name"]]))
+
+
+@native("transact_upsert", "SELECT CAST(n_nationkey AS BIGINT) AS e, CASE n_nationkey WHEN 7 THEN 'SEVEN' ELSE n_name END AS n, CAST(n_regionkey AS BIGINT) AS r FROM nation")
+def _transact_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q(_NATIONS, db_with(open_star(spark, sf_dir, "nation"), [{":nation/nationkey": 7, ":nation/name": "SEVEN"}]))
+
+
+@native("transact_report", "SELECT CAST(1 AS BIGINT) AS tx, CAST(3 AS BIGINT) AS e, ':nation/name' AS a, n_name AS v, false AS added FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 1, 3, ':nation/name', 'X', true")
+def _transact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tx_log(spark, [with_(open_star(spark, sf_dir, "nation"), [[":db/add", 3, ":nation/name", "X"]])])

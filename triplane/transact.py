@@ -305,24 +305,9 @@ class _Batch:
 
     def merged(self) -> Database:
         db, spark = self.db, self.db.spark
-        wide = db.tables["entities"]
-        ones = [n for n in {*self.adds, *self.cuts} if not db.attributes[n].many and db.attributes[n].table == "entities"]
-        changes: dict[int, dict] = {}
-        for n in ones:
-            for e, _ in self.cuts.get(n, []):
-                changes.setdefault(e, {})[n] = None
-            for e, v in self.adds.get(n, []):
-                changes.setdefault(e, {})[n] = v
-        if changes:
-            kinds = {f.name: f.dataType for f in wide.schema.fields}
-            rows = [(e, *(x for n in ones for x in (c.get(n), n in c))) for e, c in changes.items()]
-            fields = [T.StructField("e", T.LongType())] + [f for n in ones for f in (T.StructField(f"{n}'", kinds[n]), T.StructField(f"{n}?", T.BooleanType()))]
-            patch = spark.createDataFrame(rows, T.StructType(fields))
-            both = wide.join(patch, "e", "full")
-            cols = [(F.when(F.coalesce(F.col(f"`{c}?`"), F.lit(False)), F.col(f"`{c}'`")).otherwise(F.col(f"`{c}`")) if c in ones else F.col(f"`{c}`")).alias(c) for c in wide.columns if c != "e"]
-            both = both.select("e", *cols)
-            facts = [c for c in both.columns if c != "e"]
-            db.tables["entities"] = durable(both.where(F.coalesce(*(F.col(f"`{c}`").cast("string") for c in facts)).isNotNull()) if facts else both)
+        changed = [n for n in dict.fromkeys([*self.adds, *self.cuts]) if not db.attributes[n].many]
+        for table in dict.fromkeys(db.attributes[n].table for n in changed):
+            db.tables[table] = durable(self._table(table, [n for n in changed if db.attributes[n].table == table]))
         for n in {*self.adds, *self.cuts}:
             if db.attributes[n].many:
                 df = db.tables[n]
@@ -333,6 +318,25 @@ class _Batch:
                 db.tables[n] = durable(df)
         return db
 
+    def _table(self, table: str, names: list[str]) -> DataFrame:
+        """A table of entities with the batch's values of some of its attributes; entities without any fact are gone."""
+        wide = self.db.tables[table]
+        column = {n: self.db.attributes[n].column for n in names}
+        changes: dict[int, dict] = {}
+        for n in names:
+            for e, _ in self.cuts.get(n, []):
+                changes.setdefault(e, {})[n] = None
+            for e, v in self.adds.get(n, []):
+                changes.setdefault(e, {})[n] = v
+        kinds = {f.name: f.dataType for f in wide.schema.fields}
+        rows = [(e, *(x for n in names for x in (c.get(n), n in c))) for e, c in changes.items()]
+        fields = [T.StructField("e", kinds["e"])] + [f for n in names for f in (T.StructField(f"{n}'", kinds[column[n]]), T.StructField(f"{n}?", T.BooleanType()))]
+        patch = self.db.spark.createDataFrame(rows, T.StructType(fields))
+        own = {column[n]: F.when(F.coalesce(F.col(f"`{n}?`"), F.lit(False)), F.col(f"`{n}'`")).otherwise(F.col(f"`{column[n]}`")) for n in names}
+        facts = [c for c in wide.columns if c != "e"]
+        both = wide.join(patch, "e", "full").select("e", *(own.get(c, F.col(f"`{c}`")).alias(c) for c in facts))
+        return both.where(F.coalesce(*(F.col(f"`{c}`").cast("string") for c in facts)).isNotNull()) if facts else both
+
 
 def with_(db: Database, tx_data: list, meta: Any = None) -> Report:
     """The report of a transaction that nobody else sees."""
