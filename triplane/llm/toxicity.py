@@ -25,11 +25,11 @@ from triplane.llm.common import held_out, table
 from triplane.llm.hashing import runs, word_hashes
 
 #: Bound of the sample: documents that hash lowest, of each label, and the most characters that one may have to be drawn.
-DOCS_PER_LABEL, MOST_CHARS = 2500, 20_000
+DOCS_PER_LABEL, MOST_CHARS = 1500, 20_000
 NEAR = 8  # words on either side that count as near
 LEAST_DOCS = 3  # documents that a word must be in to be in the graph
 RESTART, STEPS = 0.5, 20
-AT_ONCE = 8_000_000
+AT_ONCE = 3_000_000
 _WORD = re.compile(r"[a-z\u0080-\U0010ffff]+")
 
 
@@ -59,16 +59,23 @@ def induce(texts: list[str], toxic: list[int]) -> Lexicon:
     """A lexicon from labelled texts. Without documents of both labels it is empty and scores all texts alike."""
     if not 0 < sum(toxic) < len(toxic):
         return Lexicon([], np.empty(0), np.zeros(3), -4.0 if not sum(toxic) else 4.0)
-    found = [_words(t) for t in texts]
     y = np.array(toxic)
     docs, bad = Counter(), Counter()
-    for ws, label in zip(found, toxic, strict=True):
-        docs.update(set(ws))
+    for text, label in zip(texts, toxic, strict=True):
+        ws = set(_words(text))
+        docs.update(ws)
         if label:
-            bad.update(set(ws))
+            bad.update(ws)
     names = sorted(w for w, n in docs.items() if n >= LEAST_DOCS)
     place = {w: i for i, w in enumerate(names)}
+    # Words as places in ``names``; words outside the graph are dropped, their number is kept.
+    found, lengths = [], []
+    for text in texts:
+        listed = _words(text)
+        lengths.append(len(listed))
+        found.append(np.array([place[w] for w in listed if w in place], np.int32))
     n, n_bad = np.array([docs[w] for w in names], float), np.array([bad[w] for w in names], float)
+    del docs, bad, place
     clean = len(y) - y.sum()
     p, q = (n_bad + 0.5) / (y.sum() + 1), (n - n_bad + 0.5) / (clean + 1)
     # Seeds: words whose counts by label differ by more than chance, by the signed root of the likelihood ratio.
@@ -80,31 +87,34 @@ def induce(texts: list[str], toxic: list[int]) -> Lexicon:
     clean_seeds = np.where(q >= p, np.sqrt(n - n_bad), 0)
     if not toxic_seeds.any() or not clean_seeds.any():
         return Lexicon([], np.empty(0), np.zeros(3), float(np.log(y.mean() / (1 - y.mean()))))
-    a, b, weight = ppmi([[place[w] for w in ws if w in place] for ws in found], len(names))
+    a, b, weight = ppmi(found, len(names))
     toxic_rate, clean_rate = (walk(a, b, weight, s / s.sum(), len(names)) for s in (toxic_seeds, clean_seeds))
     base = 1.0 / len(names)
     polarity = np.log((toxic_rate + 0.02 * base) / (clean_rate + 0.02 * base))
     keep = np.flatnonzero(polarity > 2.0)
     lexicon = Lexicon([names[i] for i in keep], polarity[keep], np.zeros(3), 0.0)
-    known = dict(zip(lexicon.words, lexicon.polarity, strict=True))
-    held = [[known.get(w, 0.0) for w in ws] for ws in found]
-    x = features(np.array([max(h, default=0.0) for h in held]), np.array([sum(h) for h in held]), np.array([len(h) for h in held], float))
+    held = np.where(polarity > 2.0, polarity, 0.0)
+    values = [held[ws] for ws in found]
+    x = features(np.array([v.max(initial=0.0) for v in values]), np.array([v.sum() for v in values]), np.array(lengths, float))
     lexicon.slopes, lexicon.bias = logistic(x, y)
     return lexicon
 
 
-def ppmi(docs: list[list[int]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def ppmi(docs: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Edges of the word graph: pairs a < b that stand within NEAR words, weighted by positive mutual information."""
-    pairs = []
-    for ws in docs:
-        w = np.array(ws, np.int64)
-        for d in range(1, NEAR + 1):
-            x, z = w[:-d], w[d:]
-            pairs.append(np.minimum(x, z) * size + np.maximum(x, z))
-    code, times = np.unique(np.concatenate([np.empty(0, np.int64), *pairs]), return_counts=True)
+    code, times = np.empty(0, np.int64), np.empty(0, np.int64)
+    for start in range(0, len(docs), 250):  # few documents at a time: their pairs are many more than their words
+        pairs = [code]
+        for w in docs[start : start + 250]:
+            w = w.astype(np.int64)
+            pairs += [np.minimum(w[:-d], w[d:]) * size + np.maximum(w[:-d], w[d:]) for d in range(1, NEAR + 1)]
+        known = len(code)
+        merged, at = np.unique(np.concatenate(pairs), return_inverse=True)
+        times = np.bincount(at[:known], times, len(merged)) + np.bincount(at[known:], minlength=len(merged))
+        code = merged
     a, b = code // size, code % size
     apart = a != b
-    a, b, times = a[apart], b[apart], times[apart].astype(float)
+    a, b, times = a[apart], b[apart], times[apart]
     degree = np.bincount(a, times, size) + np.bincount(b, times, size)
     info = np.log(times * degree.sum() / np.maximum(degree[a] * degree[b], 1e-300)) if len(a) else np.empty(0)
     good = info > 0
@@ -145,11 +155,15 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_label: int = DOCS_PER_LABEL
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     marks = marks.agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
-    fresh = docs.where(~held_out(F.col("doc_id")) & (F.length("text") <= MOST_CHARS)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = fresh.join(marks, "doc_id").select("text", "toxic", F.xxhash64("doc_id").alias("order"), "doc_id")
-    rows = []
+    good = ~held_out(F.col("doc_id")) & (F.length("text") <= MOST_CHARS)
+    slim = docs.where(good).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(marks, "doc_id")
+    chosen = None
     for label in (1, 0):
-        rows += known.where(F.col("toxic") == label).orderBy("order", "doc_id", "text").limit(docs_per_label).collect()
+        part = slim.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs_per_label)
+        chosen = part if chosen is None else chosen.union(part)
+    # Ids first: texts are read again for the few that were chosen, and none is shuffled but theirs.
+    texts = docs.where(good).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     return induce([r.text for r in rows], [int(r.toxic) for r in rows])
 
 
