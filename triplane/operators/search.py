@@ -13,7 +13,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triplane.catalog import Database
@@ -125,11 +126,62 @@ def _holds(query: Any, found: Column) -> Column:
     return out
 
 
-def search(index: Index, query: Any, top: int = TOP) -> DataFrame:
+#: Proximity: hits farther apart than this begin a new span; so many times the wanted documents are scored anew.
+FAR, EXPANSION = 45, 2
+
+
+def spans(hits: list[tuple[int, str]], far: int = FAR) -> list[list[tuple[int, str]]]:
+    """Hits of a document, by position, as runs in which no term comes twice and no gap is longer than ``far``.
+
+    Where a term comes again, the run is cut there, or after its earlier place if the later hit lies nearer to the rest.
+    """
+    out: list[list[tuple[int, str]]] = []
+    run: list[tuple[int, str]] = []
+    for place, term in sorted(hits):
+        if run:
+            gap = place - run[-1][0]
+            at = next((i for i, (_, t) in enumerate(run) if t == term), None)
+            if gap > far or run[-1][1] == term:
+                out.append(run)
+                run = []
+            elif at is not None:
+                near = gap < run[at + 1][0] - run[at][0]
+                out.append(run[: at + 1] if near else run)
+                run = run[at + 1 :] if near else []
+        run.append((place, term))
+    return [r for r in [*out, run] if r]
+
+
+def closeness(found: dict[str, list[int]], weights: dict[str, float], norm: int, far: int = FAR) -> float:
+    """The score of a document by the spans of its hits: longer and denser ones count more."""
+    runs = spans([(p, t) for t, places in found.items() for p in places], far)
+    total = 0.0
+    for r in runs:
+        width = far if len(r) == 1 else r[-1][0] - r[0][0] + 1
+        total += sum(weights.get(t, 0.0) for _, t in r) * (len(r) / width) ** 0.25 * len(r) ** 0.3
+    return total / norm
+
+
+def _rescored(good: DataFrame, required: list[str], counts: dict[str, int], index: Index, top: int) -> DataFrame:
+    """Of each tier the best candidates, scored by closeness; few rows, by Arrow."""
+    df = {r.term: r.df for r in index.postings.where(F.col("term").isin(*required)).groupBy("term").agg(F.count("*").alias("df")).collect()}
+    weights = {t: (1 + math.log10(counts[t])) * math.log10(index.size / n) for t, n in df.items()}
+    rank = F.row_number().over(Window.partitionBy("n").orderBy(F.col("score").desc(), "doc"))
+    best = good.withColumn("_rank", rank).where(F.col("_rank") <= EXPANSION * top)
+
+    @F.pandas_udf("double")
+    def score(found: pd.Series, norm: pd.Series) -> pd.Series:
+        return pd.Series([closeness({t: list(p) for t, p in dict(f).items() if t in weights}, weights, int(n)) for f, n in zip(found, norm, strict=True)], dtype=float)
+
+    return best.withColumn("score", score("found", "norm"))
+
+
+def search(index: Index, query: Any, top: int = TOP, proximity: bool = False) -> DataFrame:
     """Rows ``doc, score``, best first: more of the required terms, then the higher score, then the lesser id.
 
     Score: over terms, (1 + log10 qf) log10(N / df) (1 + log10 tf), by the document's number of distinct terms. A query that
-    only negates gives documents of score 0.1 by id, or none if no term of it is indexed.
+    only negates gives documents of score 0.1 by id, or none if no term of it is indexed. With ``proximity`` the best of each
+    tier are scored anew by how near to each other their hits stand.
     """
     required, every = _required(query), _all_terms(query)
     hits = index.postings.where(F.col("term").isin(*every)) if every else index.postings.limit(0)
@@ -146,7 +198,10 @@ def search(index: Index, query: Any, top: int = TOP) -> DataFrame:
     scored = mine.join(F.broadcast(df), "term").withColumn("s", weight[F.col("term")] * F.log10(F.lit(float(index.size)) / F.col("df")) * (1 + F.log10("tf")))
     sums = scored.groupBy("doc").agg(F.sum("s").alias("s"), F.count("*").alias("n"))
     good = sums.join(per_doc, "doc").where(_holds(query, F.col("found"))).join(index.docs, "doc")
-    return good.select("doc", "n", (F.col("s") / F.col("norm")).alias("score")).orderBy(F.col("n").desc(), F.col("score").desc(), "doc").limit(top).select("doc", "score")
+    good = good.withColumn("score", F.col("s") / F.col("norm"))
+    if proximity:
+        good = _rescored(good, required, counts, index, top)
+    return good.select("doc", "n", "score").orderBy(F.col("n").desc(), F.col("score").desc(), "doc").limit(top).select("doc", "score")
 
 
 def offsets(text: Column, term: str) -> Column:
@@ -166,7 +221,7 @@ def fulltext(env: Env, df: DataFrame, args: tuple) -> DataFrame:
     out = None
     for a in attributes:
         facts = db.scan(a)
-        found = search(build(facts.select(F.col("e").alias("doc"), F.col("v").alias("text"))), query, int(opts.get(":top", TOP)))
+        found = search(build(facts.select(F.col("e").alias("doc"), F.col("v").alias("text"))), query, int(opts.get(":top", TOP)), bool(opts.get(":proximity")))
         named = facts.join(found, facts["e"] == found["doc"])
         cols = [F.col("e"), F.lit(a).alias("a"), F.col("v")] + ([F.col("score")] if "scores" in str(opts.get(":display", "")) else [])
         rows = named.select(F.array(F.struct(*cols)).alias("_r"))
