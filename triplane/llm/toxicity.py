@@ -11,6 +11,7 @@ The lexicon is learned from a bounded sample of labelled documents; every docume
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,6 +30,9 @@ DOCS_PER_LABEL, MOST_CHARS = 1500, 20_000
 NEAR = 8  # words on either side that count as near
 LEAST_DOCS = 3  # documents that a word must be in to be in the graph
 RESTART, STEPS = 0.5, 20
+SEED = 3.5  # how far, in standard deviations, counts by label must differ from chance to make a seed
+CUTS = (1.5, 2.5, 3.5, 4.5, 5.5)  # polarities from which words may belong to the lexicon; the best is taken
+COPY_MARKS = 8  # of a text's three-word shingles those that hash lowest; texts that share one are near copies
 AT_ONCE = 3_000_000
 _WORD = re.compile(r"[a-z\u0080-\U0010ffff]+")
 
@@ -55,10 +59,21 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(pc.utf8_lower(pa.scalar(text)).as_py())
 
 
-def induce(texts: list[str], toxic: list[int]) -> Lexicon:
-    """A lexicon from labelled texts. Without documents of both labels it is empty and scores all texts alike."""
-    if not 0 < sum(toxic) < len(toxic):
-        return Lexicon([], np.empty(0), np.zeros(3), -4.0 if not sum(toxic) else 4.0)
+def distinct(texts: list[str]) -> list[int]:
+    """Places of texts of which none is a near copy of one before: copies would make any of their words look telling."""
+    seen: set[int] = set()
+    out = []
+    for i, text in enumerate(texts):
+        ws = _words(text)
+        marks = sorted({zlib.crc32(" ".join(ws[j : j + 3]).encode()) for j in range(max(1, len(ws) - 2))})[:COPY_MARKS]
+        if not seen.intersection(marks):
+            out.append(i)
+        seen.update(marks)
+    return out
+
+
+def polarities(texts: list[str], toxic: list[int]) -> dict[str, float]:
+    """Polarity of each word of the graph: the log ratio of the two walks' visiting rates. Empty without seeds of both kinds."""
     y = np.array(toxic)
     docs, bad = Counter(), Counter()
     for text, label in zip(texts, toxic, strict=True):
@@ -68,36 +83,67 @@ def induce(texts: list[str], toxic: list[int]) -> Lexicon:
             bad.update(ws)
     names = sorted(w for w, n in docs.items() if n >= LEAST_DOCS)
     place = {w: i for i, w in enumerate(names)}
-    # Words as places in ``names``; words outside the graph are dropped, their number is kept.
-    found, lengths = [], []
-    for text in texts:
-        listed = _words(text)
-        lengths.append(len(listed))
-        found.append(np.array([place[w] for w in listed if w in place], np.int32))
+    found = [np.array([place[w] for w in _words(t) if w in place], np.int32) for t in texts]
     n, n_bad = np.array([docs[w] for w in names], float), np.array([bad[w] for w in names], float)
     del docs, bad, place
-    clean = len(y) - y.sum()
-    p, q = (n_bad + 0.5) / (y.sum() + 1), (n - n_bad + 0.5) / (clean + 1)
+    p, q = (n_bad + 0.5) / (y.sum() + 1), (n - n_bad + 0.5) / (len(y) - y.sum() + 1)
     # Seeds: words whose counts by label differ by more than chance, by the signed root of the likelihood ratio.
     expected = n * y.mean()
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * (np.where(n_bad > 0, n_bad * np.log(n_bad / expected), 0) + np.where(n > n_bad, (n - n_bad) * np.log((n - n_bad) / (n - expected)), 0))
     strength = np.sign(p - q) * np.sqrt(np.maximum(g, 0))
-    toxic_seeds = np.where((strength > 3.5) & (p > 3 * q), strength, 0)
+    toxic_seeds = np.where((strength > SEED) & (p > 3 * q), strength, 0)
     clean_seeds = np.where(q >= p, np.sqrt(n - n_bad), 0)
     if not toxic_seeds.any() or not clean_seeds.any():
-        return Lexicon([], np.empty(0), np.zeros(3), float(np.log(y.mean() / (1 - y.mean()))))
+        return {}
     a, b, weight = ppmi(found, len(names))
     toxic_rate, clean_rate = (walk(a, b, weight, s / s.sum(), len(names)) for s in (toxic_seeds, clean_seeds))
-    base = 1.0 / len(names)
-    polarity = np.log((toxic_rate + 0.02 * base) / (clean_rate + 0.02 * base))
-    keep = np.flatnonzero(polarity > 2.0)
-    lexicon = Lexicon([names[i] for i in keep], polarity[keep], np.zeros(3), 0.0)
-    held = np.where(polarity > 2.0, polarity, 0.0)
-    values = [held[ws] for ws in found]
-    x = features(np.array([v.max(initial=0.0) for v in values]), np.array([v.sum() for v in values]), np.array(lengths, float))
-    lexicon.slopes, lexicon.bias = logistic(x, y)
-    return lexicon
+    base = 0.02 / len(names)
+    return dict(zip(names, np.log((toxic_rate + base) / (clean_rate + base)), strict=True))
+
+
+def _features(texts: list[str], polarity: dict[str, float], cut: float) -> np.ndarray:
+    known = {w: v for w, v in polarity.items() if v > cut}
+    held = [[known.get(w, 0.0) for w in _words(t)] for t in texts]
+    return features(np.array([max(h, default=0.0) for h in held]), np.array([sum(h) for h in held]), np.array([len(h) for h in held], float))
+
+
+def induce(texts: list[str], toxic: list[int], share: float | None = None) -> Lexicon:
+    """A lexicon from labelled texts; ``share`` is the share of toxic ones where it matters, that of the texts if not given.
+
+    The curve, and the polarity from which a word belongs to the lexicon, are fitted on halves of the texts with polarities
+    from the other half, so that words which tell by chance don't count. Without documents of both labels the lexicon is
+    empty and all texts score alike.
+    """
+    share = (sum(toxic) / max(1, len(toxic))) if share is None else share
+    blank = Lexicon([], np.empty(0), np.zeros(3), float(np.log(max(share, 0.01) / max(1 - share, 0.01))))
+    keep = distinct(texts)
+    texts, y = [texts[i] for i in keep], np.array([toxic[i] for i in keep])
+    if not 0 < y.sum() < len(y):
+        return blank
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    half = np.array([zlib.crc32(t.encode()) & 1 for t in texts])
+    other = []
+    for side in (0, 1):
+        learn = np.flatnonzero(half != side)
+        other.append(polarities([texts[i] for i in learn], [int(y[i]) for i in learn]))
+    whole = polarities(texts, y.tolist())
+    if not whole:
+        return blank
+    best = None
+    for cut in CUTS:
+        x = np.zeros((len(y), 3))
+        for side in (0, 1):
+            rows = np.flatnonzero(half == side)
+            x[rows] = _features([texts[i] for i in rows], other[side], cut)
+        slopes, bias = logistic(x, y, weight)
+        p = 1 / (1 + np.exp(-np.clip(x @ slopes + bias, -30, 30)))
+        loss = -(weight * np.log(np.where(y == 1, p, 1 - p))).mean()
+        if best is None or loss < best[0]:
+            best = (loss, cut, slopes, bias)
+    _, cut, slopes, bias = best
+    words = sorted(w for w, v in whole.items() if v > cut)
+    return Lexicon(words, np.array([whole[w] for w in words]), slopes, bias)
 
 
 def ppmi(docs: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,14 +179,14 @@ def walk(a: np.ndarray, b: np.ndarray, weight: np.ndarray, start: np.ndarray, si
     return rate
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Slopes and bias by Newton's method; the slopes are kept from growing without end on separable labels."""
     z = np.hstack([x, np.ones((len(x), 1))])
     w, penalty = np.zeros(z.shape[1]), np.diag([ridge] * x.shape[1] + [1e-6])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + penalty + 1e-9 * np.eye(len(w))
-        step = np.linalg.solve(h, z.T @ (y - p) - penalty @ w)
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z + penalty + 1e-9 * np.eye(len(w))
+        step = np.linalg.solve(h, z.T @ (weight * (y - p)) - penalty @ w)
         w += step / max(1.0, np.abs(step).max() / 2)
         if np.abs(step).max() < 1e-8:
             break
@@ -164,7 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_label: int = DOCS_PER_LABEL
     # Ids first: texts are read again for the few that were chosen, and none is shuffled but theirs.
     texts = docs.where(good).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     rows = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
-    return induce([r.text for r in rows], [int(r.toxic) for r in rows])
+    n, bad = slim.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    return induce([r.text for r in rows], [int(r.toxic) for r in rows], bad / n if n else None)
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
