@@ -41,6 +41,8 @@ class Database:
     spark: SparkSession
     tables: dict[str, DataFrame]
     attributes: dict[str, Attribute]
+    #: Tables in which no two rows have one id; results that hold such ids need no deduplication.
+    keyed: frozenset[str] = frozenset({"entities"})
 
     def attribute(self, name: str) -> Attribute:
         if name not in self.attributes:
@@ -77,7 +79,8 @@ def from_table(db: Database, name: str, df: DataFrame, key: str | None, prefix:
     for c in df.columns:
         short = c.removeprefix(prefix)
         attrs.append(Attribute(f":{name}/{short}", name, c, ref=short in refs, unique=":db.unique/identity" if c == key else None))
-    return db.with_table(name, wide, attrs)
+    made = db.with_table(name, wide, attrs)
+    return replace(made, keyed=made.keyed | {name}) if key is not None else made
 
 
 #: Of the driver's tables: key, prefix of columns, references.

@@ -29,6 +29,18 @@ c_ = lambda name: F.col(f"`{name}`")
 SOURCE_FUNCTIONS: dict[str, Callable[..., DataFrame]] = {}
 
 
+# What is known of a relation: variables whose values no two of its rows share. Kept beside the DataFrame it is about.
+
+
+def key_of(df: DataFrame) -> frozenset[str] | None:
+    return df.__dict__.get("_triplane_key")
+
+
+def keyed(df: DataFrame, key: Iterable[str] | None) -> DataFrame:
+    df.__dict__["_triplane_key"] = None if key is None else frozenset(key)
+    return df
+
+
 @dataclass
 class Env:
     """What clauses are read against."""
@@ -77,7 +89,7 @@ class Relations:
             return None
         df = mine[0]
         for p in mine[1:]:
-            df = df.crossJoin(p)
+            df = _product(df, p)
         self.parts = [p for p in self.parts if all(p is not m for m in mine)] + [df]
         return df
 
@@ -87,7 +99,7 @@ class Relations:
     def all(self) -> DataFrame | None:
         df = None
         for p in self.parts:
-            df = p if df is None else df.crossJoin(p)
+            df = p if df is None else _product(df, p)
         self.parts = [df] if df is not None else []
         return df
 
@@ -95,7 +107,17 @@ class Relations:
 def _natural(a: DataFrame, b: DataFrame, shared: list[str]) -> DataFrame:
     right = b.select(*(c_(c).alias(f"{c}'") if c in shared else c_(c) for c in b.columns))
     on = [a[f"`{c}`"] == right[f"`{c}'`"] for c in shared]
-    return a.join(right, on).drop(*(f"{c}'" for c in shared))
+    joined = a.join(right, on).drop(*(f"{c}'" for c in shared))
+    ka, kb = key_of(a), key_of(b)
+    if ka is None or kb is None:
+        return joined
+    # A row meets one row at most of a side whose key is among the shared variables.
+    return keyed(joined, ka if kb <= set(shared) else kb if ka <= set(shared) else ka | kb)
+
+
+def _product(a: DataFrame, b: DataFrame) -> DataFrame:
+    ka, kb = key_of(a), key_of(b)
+    return keyed(a.crossJoin(b), None if ka is None or kb is None else ka | kb)
 
 
 # --- patterns ---
@@ -116,7 +138,11 @@ def scan_entity(env: Env, source: str, entity: Any, patterns: list[Pattern]) ->
     for p, a in zip(patterns, attrs, strict=True):
         if len(p.terms) > 2:
             df = _match(env, source, df, out, p.terms[2], c_(names[a.column]), a.ref)
-    return df.select(*(v.alias(k) for k, v in out.items())) if out else df.select(F.lit(True).alias(f"_here{id(df)}")).limit(1)
+    if not out:
+        return df.select(F.lit(True).alias(f"_here{id(df)}")).limit(1)
+    made = df.select(*(v.alias(k) for k, v in out.items()))
+    one = attrs[0].table in db.keyed and is_var(entity) and str(entity) in out
+    return keyed(made, {str(entity)} if one else set() if attrs[0].table in db.keyed and not is_var(entity) and not is_blank(entity) else None)
 
 
 def _match(env: Env, source: str, df: DataFrame, out: dict[str, Column], term: Any, value: Column, ref: bool) -> DataFrame:
@@ -342,10 +368,10 @@ def _predicate(env: Env, x: Predicate, rels: Relations) -> None:
     name = str(x.call[0])
     if name in SOURCE_FUNCTIONS:
         df = _over(env, call_vars(x.call), rels)
-        rels.replace(df, SOURCE_FUNCTIONS[name](env, df, x.call[1:]).where(F.col("_r")).drop("_r"))
+        rels.replace(df, keyed(SOURCE_FUNCTIONS[name](env, df, x.call[1:]).where(F.col("_r")).drop("_r"), key_of(df) if name == "missing?" else None))
         return
     df = _over(env, call_vars(x.call), rels)
-    rels.replace(df, df.where(boolean(df, call(env, df, x.call))))
+    rels.replace(df, keyed(df.where(boolean(df, call(env, df, x.call))), key_of(df)))
 
 
 def _function(env: Env, x: Function, rels: Relations) -> None:
@@ -353,7 +379,8 @@ def _function(env: Env, x: Function, rels: Relations) -> None:
     df = _over(env, [*call_vars(x.call), *binding_vars(x.binding)], rels)
     if name in SOURCE_FUNCTIONS:
         made = SOURCE_FUNCTIONS[name](env, df, x.call[1:])
-        rels.replace(df, bind(env, made, F.col("_r"), x.binding).drop("_r"))
+        same = name in ("get-else", "get-some", "idoc-get", "udf") and not _spreads(x.binding)
+        rels.replace(df, keyed(bind(env, made, F.col("_r"), x.binding).drop("_r"), key_of(df) if same else None))
         return
     value = call(env, df, x.call)
     if isinstance(value, (list, tuple)) and not isinstance(value, str) and any(isinstance(v, (list, tuple)) for v in value):
@@ -363,7 +390,12 @@ def _function(env: Env, x: Function, rels: Relations) -> None:
     if value is None:
         rels.replace(df, df.where(F.lit(False)))
         return
-    rels.replace(df, bind(env, df, col(value), x.binding))
+    rels.replace(df, keyed(bind(env, df, col(value), x.binding), None if _spreads(x.binding) else key_of(df)))
+
+
+def _spreads(binding: Any) -> bool:
+    """Whether a binding may give several rows for one."""
+    return isinstance(binding, list) and ("..." in binding or any(map(_spreads, binding)) or (len(binding) == 1 and isinstance(binding[0], list)))
 
 
 def _scoped(env: Env, source: str | None) -> Env:
@@ -397,7 +429,7 @@ def _or(env: Env, x: Or, rels: Relations) -> None:
             raise QueryError(f"Insufficient bindings: {missing}")
         df = df.select(*map(c_, free)) if free else df.select(F.lit(1).alias(ONE)).limit(1)
         union = df if union is None else union.union(df)
-    rels.add(union.distinct())
+    rels.add(keyed(union.distinct(), union.columns))
 
 
 def _needed(env: Env, items: list, free: list[str]) -> list[str]:
@@ -442,11 +474,11 @@ def _not(env: Env, x: Not, rels: Relations) -> None:
     solve(inner_env, list(x.clauses), inner)
     found = inner.all()
     if not outer:
-        rels.replace(df, df.join(found.select(F.lit(1).alias("_any")).limit(1), F.lit(True), "left_anti"))
+        rels.replace(df, keyed(df.join(found.select(F.lit(1).alias("_any")).limit(1), F.lit(True), "left_anti"), key_of(df)))
         return
     right = found.select(*(c_(v).alias(f"{v}'") for v in outer)).distinct()
     on = [df[f"`{v}`"] == right[f"`{v}'`"] for v in outer]
-    rels.replace(df, df.join(right, on, "left_anti"))
+    rels.replace(df, keyed(df.join(right, on, "left_anti"), key_of(df)))
 
 
 # --- rules ---
@@ -656,7 +688,9 @@ def result(env: Env, q: Query, rels: Relations) -> DataFrame:
             if v not in env.constants:
                 raise QueryError(f"{v} is not bound")
             df = df.withColumn(v, col(env.constants[v]))
-    df = df.select(*map(c_, needed)).distinct()
+    key = key_of(df)
+    df = df.select(*map(c_, needed))
+    df = df if key is not None and key <= set(needed) else df.distinct()
     names = q.names or unique_names(q.find)
     if any(map(has_aggregate, q.find)):
         df = aggregated(env, q, df, names)

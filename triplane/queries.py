@@ -207,9 +207,9 @@ for _metric, _sql in _NEAR.items():
     def _near(spark: SparkSession, sf_dir: str, metric: str = _metric) -> DataFrame:
         rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
         query = rows.where("vec_id = 3").first().embedding
-        return vectors.neighbors(rows, "embedding", query, 10, metric, key="vec_id").select("vec_id", F.round("dist", 4).alias("dist"))
+        return vectors.neighbors(rows, "embedding", query, 10, metric, key="vec_id").select("vec_id", (F.round("dist", 4) + 0.0).alias("dist"))
 
-    native(f"vector_{_metric.replace('-', '_')}", f"WITH d AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 3) AS t FROM embeddings) SELECT vec_id, round({_sql}, 4) AS dist FROM d ORDER BY {_sql}, vec_id LIMIT 10")(_near)
+    native(f"vector_{_metric.replace('-', '_')}", f"WITH d AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 3) AS t FROM embeddings) SELECT vec_id, round({_sql}, 4) + 0.0 AS dist FROM d ORDER BY {_sql}, vec_id LIMIT 10")(_near)
 
 
 @native("idoc_match", "SELECT event_id AS e FROM events WHERE json_extract(props, '$.k')::BIGINT = 69")
