@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from triplane.llm.common import once, table, words
+from triplane.llm.common import durable, once, table, words
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Width of the sketches' buckets: quantiles have a relative error of at most 1 %.
@@ -101,6 +101,9 @@ def fences(sketches: DataFrame, by: list[str], least: int = LEAST_DOCS) -> DataF
     return ends.groupBy("level", *by).agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct("low", "high")))).alias("fences"))
 
 
+_NEW = ["word_chars", "n_symbols", "n_dup_lines", "n_words", "n_repeat_words", "base_failed", "kept", "_words", "_lines", "_windows", "_pairs", "_places"]
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """``docs`` with the base counts, ``base_failed`` and ``kept`` added; all rows stay.
 
@@ -108,10 +111,14 @@ def judge(docs: DataFrame) -> DataFrame:
     by ``lang`` and ``source`` (nulls form groups of their own); where such a group, or its language, is too small, the
     next larger one's hold, and where all are, every document is within. Columns of the names added are replaced.
     """
-    new = ["word_chars", "n_symbols", "n_dup_lines", "n_words", "n_repeat_words", "base_failed", "kept", "_words", "_lines", "_windows", "_pairs", "_places"]
+    return decide(measure(docs.drop(*_NEW)))
+
+
+def decide(measured: DataFrame) -> DataFrame:
+    """Verdicts for documents that :func:`measure` has measured. It reads them twice; stored ones are measured once."""
     by = ["lang", "source"]
-    rows = measure(docs.drop(*new)).withColumn("base_failed", base_failed())
-    passed = measure(docs.select(*by, "text")).where(~base_failed()).select(*by, *(c.alias(m) for m, c in measures().items()))
+    rows = measured.withColumn("base_failed", base_failed())
+    passed = rows.where(~F.col("base_failed")).select(*by, *(c.alias(m) for m, c in measures().items()))
     limits = fences(sketch(passed, by), by)
     out = rows
     for level in (2, 1, 0):  # a few rows per group of the corpus; Spark broadcasts them if their measured size allows
@@ -119,7 +126,7 @@ def judge(docs: DataFrame) -> DataFrame:
         on = F.lit(True)
         for c in by[:level]:
             on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-        out = out.join(part if level else F.broadcast(part), on, "left").drop(*(f"_{c}" for c in by[:level]))
+        out = out.join(part if level else F.broadcast(part), on, "left").drop(*(f"_{c}" for c in by[:level]))  # level 0 has one row
     found = F.coalesce(*(F.col(f"_fences{level}") for level in (2, 1, 0)))
     within = F.lit(True)
     for m, c in measures().items():
@@ -129,4 +136,5 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    measured = durable(measure(docs).drop("text"))  # the counts alone, a few bytes a document
+    return decide(measured).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
