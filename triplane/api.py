@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -26,7 +28,7 @@ def q(query: Any, *inputs: Any) -> DataFrame:
 def answer(query: Any, *inputs: Any) -> Any:
     """The result as Python data in the shape that :find asks for: a set of tuples, a list, a tuple or one value."""
     parsed = parse(query)
-    rows = [tuple(r) for r in run(parsed, *inputs).collect()]
+    rows = [tuple(r) for r in _collected(run(parsed, *inputs), parsed.timeout)]
     if parsed.shape == "scalar":
         return rows[0][0] if rows else None
     if parsed.shape == "tuple":
@@ -36,6 +38,25 @@ def answer(query: Any, *inputs: Any) -> Any:
     return rows
 
 
+def _collected(df: DataFrame, timeout: int | None) -> list:
+    """All rows; with a timeout in milliseconds, the query's jobs are stopped when it is over."""
+    if timeout is None:
+        return df.collect()
+    spark, tag = df.sparkSession, f"triplane-{uuid.uuid4().hex}"
+    timer = threading.Timer(timeout / 1000, lambda: spark.sparkContext.cancelJobsWithTag(tag))
+    spark.sparkContext.addJobTag(tag)
+    timer.start()
+    try:
+        return df.collect()
+    except Exception as e:
+        if timer.is_alive():
+            raise
+        raise TimeoutError(f"the query took more than {timeout} ms") from e
+    finally:
+        timer.cancel()
+        spark.sparkContext.removeJobTag(tag)
+
+
 def explain(query: Any, *inputs: Any) -> str:
     """The parsed query and Spark's formatted plan."""
     df = run(query, *inputs)

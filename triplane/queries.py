@@ -104,6 +104,17 @@ datalog("fn_missing", "documents labels", "[:find ?d :where [?d :documents/lang]
 datalog("fn_get_some", "documents labels", "[:find ?d ?a ?v :where [?d :documents/lang] [(get-some $ ?d :labels/quality :documents/n_chars) [?a ?v]]]", "SELECT d.doc_id AS d, CASE WHEN quality IS NOT NULL THEN ':labels/quality' ELSE ':documents/n_chars' END AS a, CAST(coalesce(quality, n_chars) AS BIGINT) AS v FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 datalog("fn_java_methods", "nation", '[:find ?n ?l :where [_ :nation/name ?n] [(.endsWith ?n "1")] [(.toLowerCase ?n) ?l]]', "SELECT n_name AS n, lower(n_name) AS l FROM nation WHERE n_name LIKE '%1'")
 datalog("fn_text_library", "nation", '[:find ?x :where [_ :nation/name ?n] [(clojure.string/replace ?n "NATION" "N") ?r] [(clojure.string/lower-case ?r) ?x]]', "SELECT DISTINCT lower(replace(n_name, 'NATION', 'N')) AS x FROM nation")
+datalog("fn_sign_tests", "customer", "[:find ?c :where [?c :customer/acctbal ?b] [?c :customer/nationkey ?k] [(neg? ?b)] [(zero? ?k)]]", "SELECT c_custkey AS c FROM customer WHERE c_acctbal < 0 AND c_nationkey = 0")
+datalog("fn_odd_complement", "nation", "[:find ?k :where [?k :nation/name] [((complement even?) ?k)]]", "SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation WHERE n_nationkey % 2 = 1")
+datalog("fn_differ", "nation", "[:find ?k :where [?k :nation/regionkey ?r] [(-differ? ?k ?r 1 1)]]", "SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation WHERE n_nationkey <> 1 OR n_regionkey <> 1")
+datalog("fn_re_seq", "nation", '[:find ?n ?x :where [_ :nation/name ?n] [(re-seq "[0-9]" ?n) [?x ...]]]', "SELECT DISTINCT n_name AS n, unnest(regexp_extract_all(n_name, '[0-9]')) AS x FROM nation")
+datalog("fn_map_lookup", "nation", '[:find ?k ?v :where [?k :nation/regionkey ?r] [(str "r" ?r) ?s] [(get {"r1" "one" "r2" "two"} ?s) ?v]]', "SELECT CAST(n_nationkey AS BIGINT) AS k, CASE n_regionkey WHEN 1 THEN 'one' ELSE 'two' END AS v FROM nation WHERE n_regionkey IN (1, 2)")
+datalog("fn_apply", "embeddings", "[:find ?e ?n ?m :where [?e :embeddings/embedding ?v] [(count ?v) ?n] [(apply max ?v) ?x] [(>= ?x 0.0)] [(not-empty ?v) _] [(quot ?n 2) ?m]]", "SELECT vec_id AS e, CAST(len(embedding) AS BIGINT) AS n, CAST(len(embedding) // 2 AS BIGINT) AS m FROM embeddings WHERE list_max(embedding) >= 0")
+datalog("fn_keyword_parts", "nation", '[:find ?n ?x ?y :where [_ :nation/name ?n] [(keyword "nation" ?n) ?k] [(name ?k) ?x] [(namespace ?k) ?y]]', "SELECT n_name AS n, n_name AS x, 'nation' AS y FROM nation")
+datalog("fn_printing", "nation", '[:find ?n ?x ?y :where [?k :nation/name ?n] [(print-str ?n ?k) ?x] [(pr-str ?n ?k) ?y]]', "SELECT n_name AS n, n_name || ' ' || n_nationkey AS x, '\"' || n_name || '\" ' || n_nationkey AS y FROM nation")
+datalog("fn_identity_tests", "customer", "[:find ?c :where [?c :customer/name ?n] [?c :customer/acctbal ?b] [(some? ?n)] [(> ?b 9000.0) ?t] [(true? ?t)] [(identity ?b) ?x] [(identical? ?x ?b)]]", "SELECT c_custkey AS c FROM customer WHERE c_acctbal > 9000.0")
+datalog("fn_set_and_range", "region", "[:find ?r ?x :where [?r :region/name] [(range 10 0 -5) [?x ...]]]", "SELECT CAST(r_regionkey AS BIGINT) AS r, CAST(x AS BIGINT) AS x FROM region, (SELECT unnest([10, 5]) AS x)")
+datalog("source_collection", "nation", "[:find ?n ?t :in $ $b :where [?k :nation/name ?n] [$b ?k ?t]]", "SELECT n_name AS n, t FROM nation JOIN (VALUES (1, 'a'), (2, 'b')) v(k, t) ON n_nationkey = k", [[1, "a"], [2, "b"]])
 # --- rules ---
 _PLACE = "[[(in-region ?c ?r) [?c :customer/nationkey ?n] [?n :nation/regionkey ?r]]]"
 datalog("rule_inlined", "customer nation", "[:find ?c :in $ % :where (in-region ?c 1)]", "SELECT c_custkey AS c FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1", _PLACE)
