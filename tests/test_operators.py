@@ -114,6 +114,14 @@ def test_search(texts):
     assert not texts.remove(1).indexed(1)
 
 
+def test_saved_index(spark, texts, tmp_path):
+    texts.save(str(tmp_path / "i"))
+    loaded = search.Index.load(spark, str(tmp_path / "i"))
+    found = search.search(loaded, "red fox")
+    assert [r.doc for r in found.collect()] == [1, 2] and loaded.size == texts.size
+    assert "PushedFilters: [In(term" in found._jdf.queryExecution().toString().replace("`", "")
+
+
 def test_search_in_query(spark):
     db = from_entities(spark, [{":db/id": i, ":text": t} for i, t in TEXTS], {":text": {":db/fulltext": True}})
     assert [r[0] for r in answer('[:find ?e ?v :where [(fulltext $ "lamb") [[?e _ ?v]]]]', db)] == [2]

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triplane.catalog import Database
@@ -60,6 +60,17 @@ class Index:
         keep = lambda df: df.join(new.docs.select("doc"), "doc", "left_anti")
         return Index(keep(self.postings).unionByName(new.postings), keep(self.docs).unionByName(new.docs), self.size + new.size)
 
+    def save(self, path: str) -> None:
+        """Writes the index. Postings lie sorted by term, so a search reads only the files and row groups of its terms."""
+        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc").write.parquet(f"{path}/postings")
+        self.docs.write.parquet(f"{path}/docs")
+        self.docs.sparkSession.range(1).select(F.lit(self.size).cast("long").alias("size")).write.parquet(f"{path}/size")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Index:
+        read = spark.read.parquet
+        return Index(read(f"{path}/postings"), read(f"{path}/docs"), read(f"{path}/size").first()[0])
+
     def remove(self, doc: Any) -> Index:
         return Index(self.postings.where(F.col("doc") != doc), self.docs.where(F.col("doc") != doc), self.size)
 
