@@ -107,7 +107,7 @@ class Dbi:
         return self.range_filter(test, spec).first()
 
     def visit(self, visitor: Callable[[Any, Any], Any], spec: Any = ":all") -> None:
-        """Calls ``visitor`` on keys and values in order until it gives ``":datalog/terminate-visit"`` or False."""
+        """Calls ``visitor`` on keys and values in order until it gives False."""
         for row in self.range_seq(spec):
             if visitor(row.k, row.v) is False:
                 return

@@ -22,7 +22,7 @@ from triplane.edn import Keyword
 from triplane.operators.attributes import source_of
 from triplane.plans.lower import SOURCE_FUNCTIONS, Env, expression
 
-STOP_WORDS = frozenset("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
+STOP_WORDS = frozenset("there these their such with will then into this that they and the are for was not but be if of an in on no to or as is at it by a".split())
 PUNCTUATION = r"""[\s:/.;,!=?"'()\[\]{}|<>&@#^*\\~`]+"""
 LONGEST = 127
 TOP = 10
