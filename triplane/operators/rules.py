@@ -8,6 +8,7 @@ only rows with the bound values are ever made.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,9 @@ from triplane.plans.lower import Env, Relations, c_, group_of, rename, solve
 from triplane.plans.query import Not, Or, Rule, RuleCall, is_blank, is_var
 from triplane.storage import durable
 
+#: What is known is a union of the rounds' results; after so many it is stored as one.
+MOST_PARTS = 12
+
 
 def stable(env: Env, group: set[str], name: str) -> list[int]:
     """Arguments that every recursive call of a rule that recurses by itself passes on unchanged."""
@@ -114,7 +118,7 @@ def fixpoint(env: Env, call: RuleCall, rels: Relations) -> DataFrame:
     for n in group:
         width = len(env.rules[n][0].args)
         delta[n] = durable(delta[n].distinct()) if delta[n] is not None else _nothing(env, shape, width)
-    total = dict(delta)
+    total, parts = dict(delta), {n: [d] for n, d in delta.items()}
     while True:
         found: dict[str, DataFrame] = {}
         for n in group:
@@ -130,9 +134,13 @@ def fixpoint(env: Env, call: RuleCall, rels: Relations) -> DataFrame:
             right = total[n].select(*(c_(c).alias(f"{c}'") for c in total[n].columns))
             on = [rows[c].eqNullSafe(right[f"`{c}'`"]) for c in rows.columns]
             fresh[n] = durable(rows.join(right, on, "left_anti"))
-        if not any(f.limit(1).count() for f in fresh.values()):
+        if all(f.isEmpty() for f in fresh.values()):
             return total[call.name]
-        total = {n: durable(total[n].union(fresh[n])) for n in group}
+        for n in group:
+            parts[n].append(fresh[n])
+            if len(parts[n]) > MOST_PARTS:
+                parts[n] = [durable(reduce(DataFrame.union, parts[n]))]
+            total[n] = reduce(DataFrame.union, parts[n])
         delta = fresh
 
 
