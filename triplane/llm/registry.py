@@ -14,6 +14,7 @@ from triplane.llm.packing import op6_packing
 from triplane.llm.pii import op5_pii
 from triplane.llm.quality import op2_quality
 from triplane.llm.secrets import op10_secrets
+from triplane.llm.secrets import oracle_sql as secrets_sql
 from triplane.llm.sharding import op4_sharding
 from triplane.llm.toxicity import op9_toxicity
 
@@ -30,4 +31,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others learn, sketch, hash or tokenize; tests hold them against plain versions.
+ORACLE_SQL: dict[str, str] = {"op10_secrets": secrets_sql()}

@@ -188,3 +188,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
     return found.select("doc_id", *(count(r.kind) for r in BASE), F.sha2(text_of(base), 256).alias("base_sha256"), text_of("spans").alias("spans"))
+
+
+def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """DuckDB SQL for the rows of :func:`op10_secrets`: every rule scans every text."""
+
+    def listed(k: int, r: Rule) -> str:
+        rx = "'" + r.pattern.replace("'", "''") + "'"
+        lengths = lambda part: f"coalesce(list_sum(list_transform({part}, lambda x: length(x))), 0)"
+        start = f"{lengths('gap[1:k]')} + {lengths('hit[1:k - 1]')}"
+        return f"""SELECT id, list_transform(list_filter(range(1, len(hit) + 1), lambda k: length(val[k]) >= {r.least}),
+            lambda k: {{'s': CAST({start} AS BIGINT), 'r': {k}, 'e': CAST({start} + length(hit[k]) AS BIGINT), 'k': '{r.kind}'}}) AS found
+            FROM (SELECT id, regexp_extract_all(t, {rx}) AS hit, regexp_extract_all(t, {rx}, {r.group}) AS val, string_split_regex(t, {rx}) AS gap FROM docs)"""
+
+    shown = lambda spans: f"array_to_string(list_transform({spans}, lambda x: x.k || ':' || x.s || ':' || x.e), ',')"
+    base = f"list_filter(spans, lambda x: x.r < {len(BASE)})"
+    counts = ", ".join(f"len(list_filter(spans, lambda x: x.k = '{r.kind}')) AS n_{r.kind}" for r in BASE)
+    return f"""WITH docs AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+    parts AS ({" UNION ALL ".join(listed(k, r) for k, r in enumerate(rules))}),
+    whole AS (SELECT id, list_sort(flatten(list(found))) AS spans FROM parts GROUP BY id)
+    SELECT doc_id, {counts}, sha256({shown(base)}) AS base_sha256, {shown("spans")} AS spans FROM whole JOIN docs USING (id)"""
