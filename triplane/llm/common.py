@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +59,23 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     name = fresh(df, "_once")
     made = df.select("*", F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))).alias(name))
     return made.select("*", *(F.col(name)[k].alias(k) for k in columns)).drop(name)
+
+
+#: Rows that go to a Python worker at a time: texts and vectors may be long, and a batch is held in both processes.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has the session send Python workers at most BATCH_ROWS rows at a time, unless it sends fewer already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
+def give_back() -> None:
+    """Returns memory that this Python worker no longer uses; workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from triplane.llm.common import held_out, table
+from triplane.llm.common import give_back, held_out, table
 
 UNKNOWN = "und"
 WINDOW = 256
@@ -194,6 +194,8 @@ def identify(docs: DataFrame, model: ByteCNN) -> DataFrame:
                 [*(batch.column(i) for i in kept), pa.array(pred, pa.string()), pa.array(np.where(real, np.minimum(score, 1.0), 0.0))],
                 schema=pa.schema([*(batch.schema.field(i) for i in kept), ("lang_pred", pa.string()), ("score", pa.float64())]),
             )
+        tables = None
+        give_back()
 
     docs = docs.drop("lang_pred", "score")
     kept = list(range(len(docs.columns)))

@@ -17,14 +17,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplane.llm.common import table
+from triplane.llm.common import give_back, table
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 700_000
 #: Bytes of text that a worker tokenizes at a time, but for a longer text, which it takes alone.
-AT_ONCE = 12_000_000
+AT_ONCE = 5_000_000
 #: Pieces in a batch that goes back to Spark.
 PIECES = 4096
 
@@ -162,6 +162,8 @@ def pack(docs: DataFrame, longest: int = 2048, vocabulary: str | None = None, en
                         [doc_ids.take(pa.array(rows)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(n, pa.int64()), pa.array(raw, pa.binary())],
                         names=["doc_id", "start", "length", "doc_tokens", "ids"],
                     )
+        del ids_of
+        give_back()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     packed = slim.mapInArrow(pieces, "doc_id long, start long, length long, doc_tokens long, ids binary")
