@@ -176,6 +176,16 @@ def test_digest(spark, tmp_path):
     assert got[2].base_sha256 == hashlib.sha256(b"").hexdigest() and got[2].spans == ""
 
 
+@pytest.mark.parametrize("body", ["\n".join(["MIIEpAIBAAKCAQEA" * 4] * 5), "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n" + "\n".join(["Ab3/" * 16] * 5) + "\nabc="])
+@pytest.mark.parametrize("end", ["\n-----END RSA PRIVATE KEY-----", ""])
+def test_redact_leaves_nothing_of_a_key(spark, body, end):
+    text = "before -----BEGIN RSA PRIVATE KEY-----\n" + body + end
+    rows = [(1, text + "\nafter it, prose."), (2, text), (3, "a -----BEGIN RSA PRIVATE KEY----- in prose stays, as does -- this."), (4, text + "\nthen, " + text), (5, (text + "\nprose, ").replace("\n", "\\n"))]
+    got = {r.doc_id: r.text for r in secrets.redact(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got[1] == "before [SECRET]\nafter it, prose." and got[2] == "before [SECRET]" and got[4] == "before [SECRET]\nthen, before [SECRET]"
+    assert got[3] == "a [SECRET] in prose stays, as does -- this." and got[5] == "before [SECRET]\\nprose, "
+
+
 # --- 3: decontamination ---
 def test_decontamination(spark, docs, none, clashing, corpus):
     import random

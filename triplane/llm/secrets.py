@@ -47,6 +47,10 @@ MORE = (
 )
 RULES = BASE + MORE
 
+#: What ends a private key, and what follows the header of one whose end is missing: key headers and lines of base64.
+_PEM_END = r"-----END [A-Z ]{0,24}PRIVATE KEY-----"
+_PEM_OPEN = r"^(?:(?:(?:\s|\\[nr])*+(?:(?:Proc-Type|DEK-Info):\x20?[^\s\\]++|[A-Za-z0-9+/=]{16,}+))++(?:(?:\r?\n|\\n)[A-Za-z0-9+/=]{1,64}(?=\s*$|\r?\n|\\[nr]))?)?"
+
 
 def trigram_query(pattern: str) -> list[frozenset[str]]:
     """Alternatives of mandatory trigrams, in lower case; empty if the pattern has a match without any."""
@@ -169,14 +173,26 @@ def _placed(column: str, rank: int, rule: Rule) -> Column:
     return F.aggregate(column, none, step, lambda acc: acc["out"])
 
 
+def _pem_body(rest: Column) -> Column:
+    """How much of what follows a private key's header is the key: up to and with the END line, or else its lines alone."""
+    key = F.substring_index(rest, "-----BEGIN ", 1)
+    closing = F.regexp_extract(key, _PEM_END, 0)
+    return F.when(closing != "", F.length(F.split(key, _PEM_END, 2)[0]) + F.length(closing)).otherwise(F.length(F.regexp_extract(key, _PEM_OPEN, 0)))
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs``, as :func:`scan` gives them, with each run of overlapping spans in the text replaced by ``mark``."""
+    """``docs``, as :func:`scan` gives them, with each run of overlapping spans in the text replaced by ``mark``.
+
+    The span of a private key is its header; what is replaced is the whole key.
+    """
     none = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    rest = lambda x: F.substring(F.col("text"), x["end"] + 1, F.length("text"))
+    end = lambda x: x["end"] + F.when(x["kind"] == "pem", _pem_body(rest(x))).otherwise(0)
 
     def step(acc: Column, x: Column) -> Column:
         fresh_ = x["start"] >= acc["at"]
         gap = F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh_, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.greatest(acc["at"], end(x)).alias("at"), F.when(fresh_, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
     clean = F.aggregate("spans", none, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     return docs.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
