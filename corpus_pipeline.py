@@ -44,8 +44,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, with a checksum of each piece's ids."""
-    return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    """The pieces of all documents: token ids, and a checksum of them."""
+    return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [

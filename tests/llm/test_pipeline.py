@@ -38,3 +38,11 @@ def test_pipeline(spark, docs, corpus, tmp_path):
     assert first.doc_tokens == len(ids) and first.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[: first.length]))
     whole = corpus_pipeline.run(spark, d)
     assert sorted(map(repr, whole.select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(map(repr, kept[5].select("doc_id", "start", "length", "ids_crc32").collect()))
+
+
+def test_pipeline_keeps_the_tokens(spark):
+    """What is packed is written: 4 bytes a token, of which the checksum is made."""
+    rows = spark.createDataFrame([(1, "some words to pack, twice", "en", "s", 25), (2, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.pack_sequences(spark, rows, "").collect()
+    assert {r.doc_id for r in got} == {1, 2}
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in got)
