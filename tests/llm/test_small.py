@@ -291,6 +291,13 @@ def test_surrogates_stay_distinct(spark):
     assert len({r.surrogate for r in named}) == 50
 
 
+def test_more_names_than_short_surrogates(spark):
+    letters = "абвгдежзиклмнопрстуф"
+    many = spark.createDataFrame([(f"Господин А{a}{b}{c}",) for a in letters for b in letters for c in letters[:8]], "value string").withColumn("kind", F.lit("name"))
+    got = [r.surrogate for r in pii.assign(many, "k").collect()]
+    assert len(set(got)) == len(got) == 3200 and all(re.fullmatch(r"Господин [А-ЯЁ][а-яё]+", x) for x in got)
+
+
 # --- 1: near-duplicates ---
 def weights(t):
     w = WORD.findall(t or "")

@@ -35,7 +35,8 @@ _STEMS = {
     "latin": ("Al Ber Car Dal El Fal Gar Hol Il Jan Kel Lan Mar Nor Ol Per Quil Ros Sel Tor Ul Ver Wil Yar Zel Bran Clar Dor Fen Grem Hart Kor".split(), "an ber den el fort gard holm ina ker land mann nes or per ris son ström tal ver wick".split()),
     "cyrillic": ("Ал Бор Вас Гор Дем Ер Жар Зим Кар Лар Мар Нов Ор Пав Род Сав Тар Фед Чер Яр".split(), "анен овин аров евич инен илов умин ыков ятин ельн".split()),
 }
-#: A round's surrogates are checked; more rounds than this mean that a format has no free value left.
+#: A round's surrogates are checked; more rounds than this mean that a format has no free value left. Names have no end of
+#: values: they grow with the rounds.
 MOST_ROUNDS = 24
 BROADCAST_ROWS = 200_000
 
@@ -86,7 +87,10 @@ def surrogate(value: Column, kind: Column, attempt: Column, key: str) -> Column:
     title = F.regexp_extract(value, rf"^(?:{_WOMAN}|{_MAN})", 0)
     woman, cyrillic = title.rlike(f"^(?:{_WOMAN})$"), F.substring(value, F.length(title) + 2, F.lit(1)).rlike(r"\p{IsCyrillic}")
     pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), _number(seed, i, len(names)) + 1)
-    family = lambda s: F.concat(pick(_STEMS[s][0], 3), pick(_STEMS[s][1], 11), pick(_STEMS[s][1], 19))
+    # Each further attempt adds a syllable, so that there are always more names than entities.
+    drawn = lambda names, i: F.element_at(F.array(*map(F.lit, names)), _number(F.sha2(F.concat_ws("\x1f", seed, i.cast("string")), 256), 0, len(names)) + 1)
+    longer = lambda s: F.array_join(F.transform(F.sequence(F.lit(0), attempt), lambda i: F.when(i > 0, drawn(_STEMS[s][1], i)).otherwise("")), "")
+    family = lambda s: F.concat(pick(_STEMS[s][0], 3), pick(_STEMS[s][1], 11), pick(_STEMS[s][1], 19), longer(s))
     given = lambda s: F.when(woman, pick(GIVEN[s, "f"], 30)).otherwise(pick(GIVEN[s, "m"], 30))
     gap = F.regexp_extract(value, r"\p{L}([\x20-])\p{Lu}\p{Ll}+$", 1)
     two = F.substring(value, F.length(title) + 2, F.length(value)).rlike(r"[\x20-]")
