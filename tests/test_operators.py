@@ -276,3 +276,18 @@ def test_proximity(spark):
     w = math.log10(3 / 2)
     assert search.closeness({"apple": [1], "pear": [2]}, {"apple": w, "pear": w}, 10) == pytest.approx(2 * w * (2 / 2) ** 0.25 * 2**0.3 / 10)
     assert got.score > 0
+
+
+def test_search_without_a_limit(spark):
+    rows = [(i, "red fox" if i % 2 else "blue fox") for i in range(40)]
+    index_ = search.build(spark.createDataFrame(rows, "doc long, text string"))
+    assert search.search(index_, "red", None).count() == 20 and search.search(index_, [":not", "red"], None).count() == 20
+    assert search.search(index_, "red fox", None, proximity=True).count() == 40
+
+
+@pytest.mark.parametrize("name", ["search_boolean", "search_phrase"])
+def test_searches_for_all_matches_have_no_limit(spark, name):
+    from triplane.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan

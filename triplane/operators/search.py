@@ -173,12 +173,16 @@ def closeness(found: dict[str, list[int]], weights: dict[str, float], norm: int,
     return total / norm
 
 
-def _rescored(good: DataFrame, required: list[str], counts: dict[str, int], index: Index, top: int) -> DataFrame:
+def _first(rows: DataFrame, top: int | None) -> DataFrame:
+    return rows if top is None else rows.limit(top)
+
+
+def _rescored(good: DataFrame, required: list[str], counts: dict[str, int], index: Index, top: int | None) -> DataFrame:
     """Of each tier the best candidates, scored by closeness; few rows, by Arrow."""
     df = {r.term: r.df for r in index.postings.where(F.col("term").isin(*required)).groupBy("term").agg(F.count("*").alias("df")).collect()}
     weights = {t: (1 + math.log10(counts[t])) * math.log10(index.size / n) for t, n in df.items()}
     rank = F.row_number().over(Window.partitionBy("n").orderBy(F.col("score").desc(), "doc"))
-    best = good.withColumn("_rank", rank).where(F.col("_rank") <= EXPANSION * top)
+    best = good if top is None else good.withColumn("_rank", rank).where(F.col("_rank") <= EXPANSION * top)
 
     @F.pandas_udf("double")
     def score(found: pd.Series, norm: pd.Series) -> pd.Series:
@@ -187,12 +191,12 @@ def _rescored(good: DataFrame, required: list[str], counts: dict[str, int], inde
     return best.withColumn("score", score("found", "norm"))
 
 
-def search(index: Index, query: Any, top: int = TOP, proximity: bool = False) -> DataFrame:
+def search(index: Index, query: Any, top: int | None = TOP, proximity: bool = False) -> DataFrame:
     """Rows ``doc, score``, best first: more of the required terms, then the higher score, then the lesser id.
 
     Score: over terms, (1 + log10 qf) log10(N / df) (1 + log10 tf), by the document's number of distinct terms. A query that
     only negates gives documents of score 0.1 by id, or none if no term of it is indexed. With ``proximity`` the best of each
-    tier are scored anew by how near to each other their hits stand.
+    tier are scored anew by how near to each other their hits stand. A ``top`` of None gives all matches.
     """
     required, every = _required(query), _all_terms(query)
     hits = index.postings.where(F.col("term").isin(*every)) if every else index.postings.limit(0)
@@ -201,7 +205,7 @@ def search(index: Index, query: Any, top: int = TOP, proximity: bool = False) ->
         if not hits.limit(1).count():
             return index.docs.limit(0).select("doc", F.lit(0.1).alias("score"))
         rest = index.docs.join(per_doc, "doc", "left").where(_holds(query, F.coalesce("found", F.create_map().cast("map<string,array<int>>"))))
-        return rest.select("doc", F.lit(0.1).alias("score")).orderBy("doc").limit(top)
+        return _first(rest.select("doc", F.lit(0.1).alias("score")).orderBy("doc"), top)
     counts = {t: (terms_of(query).count(t) if isinstance(query, str) else 1) for t in required}
     weight = F.create_map(*(x for t, n in counts.items() for x in (F.lit(t), F.lit(1.0 + math.log10(n)))))
     mine = hits.where(F.col("term").isin(*required))
@@ -212,7 +216,7 @@ def search(index: Index, query: Any, top: int = TOP, proximity: bool = False) ->
     good = good.withColumn("score", F.col("s") / F.col("norm"))
     if proximity:
         good = _rescored(good, required, counts, index, top)
-    return good.select("doc", "n", "score").orderBy(F.col("n").desc(), F.col("score").desc(), "doc").limit(top).select("doc", "score")
+    return _first(good.select("doc", "n", "score").orderBy(F.col("n").desc(), F.col("score").desc(), "doc"), top).select("doc", "score")
 
 
 def offsets(text: Column, term: str) -> Column:

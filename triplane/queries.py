@@ -209,8 +209,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> search.Index:
 
 
 native("search_terms", _term_sql(["license", "idiot", "version"], 10))(lambda s, d: search.search(_documents(s, d), "license idiot version", 10).withColumn("score", F.round("score", 6)))
-native("search_boolean", "SELECT DISTINCT doc_id AS doc FROM documents WHERE regexp_matches(text, '(?i)\\blicense\\b') AND NOT regexp_matches(text, '(?i)\\bmit\\b')")(lambda s, d: search.search(_documents(s, d), [":and", "license", [":not", "mit"]], 100000).select("doc"))
-native("search_phrase", "SELECT doc_id AS doc FROM documents WHERE regexp_matches(text, '(?i)\\bgeneral public license\\b')")(lambda s, d: search.search(_documents(s, d), {":phrase": "general public license"}, 100000).select("doc"))
+native("search_boolean", "SELECT DISTINCT doc_id AS doc FROM documents WHERE regexp_matches(text, '(?i)\\blicense\\b') AND NOT regexp_matches(text, '(?i)\\bmit\\b')")(lambda s, d: search.search(_documents(s, d), [":and", "license", [":not", "mit"]], None).select("doc"))
+native("search_phrase", "SELECT doc_id AS doc FROM documents WHERE regexp_matches(text, '(?i)\\bgeneral public license\\b')")(lambda s, d: search.search(_documents(s, d), {":phrase": "general public license"}, None).select("doc"))
 
 _NEAR = {"euclidean": "list_sum(list_transform(list_zip(e, t), lambda x: (x[1] - x[2]) * (x[1] - x[2])))", "cosine": "1 - list_sum(list_transform(list_zip(e, t), lambda x: x[1] * x[2])) / sqrt(list_sum(list_transform(e, lambda x: x * x)) * list_sum(list_transform(t, lambda x: x * x)))", "dot-product": "1 - list_sum(list_transform(list_zip(e, t), lambda x: x[1] * x[2]))"}
 for _metric, _sql in _NEAR.items():
