@@ -207,6 +207,22 @@ def test_decontamination(spark, docs, none, clashing, corpus):
     assert all(not r.leaks for r in decontam.mark(docs, bench.limit(0)).collect())
 
 
+def test_short_items(spark):
+    """Every pattern of substitutions that the share allows, for items of 1 to 13 tokens."""
+    from itertools import combinations
+
+    items = [(n, [f"w{n}x{i}" for i in range(n)]) for n in range(1, 14)]
+    rows, want = [], {}
+    for n, tokens in items:
+        for spoiled in combinations(range(n), n - math.ceil(decontam.SHARE * n)):
+            want[len(rows)] = [n]
+            rows.append((len(rows), "some words " + " ".join("other" if i in spoiled else t for i, t in enumerate(tokens)) + " and more"))
+    rows += [(-1, " ".join(["other"] * 3 + items[7][1][3:])), (-2, "w2x0 apart w2x1")]
+    bench = spark.createDataFrame([(n, " ".join(t)) for n, t in items], "item_id long, text string")
+    got = {r.doc_id: [x.item_id for x in r.leaks] for r in decontam.mark(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == want | {-1: [], -2: []}
+
+
 # --- 7: licences ---
 def dice(a, b):
     a, b = licenses.bigrams(a), licenses.bigrams(b)

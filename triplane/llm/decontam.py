@@ -3,10 +3,13 @@
 Fixed masks choose some of the token positions in a span and ignore the others; the chosen tokens of every place in every
 document and benchmark item are hashed, and equal hashes are hits. A hit fixes how document and item would lie over each
 other; along that alignment all tokens of the item are compared, so substituted tokens neither hide a passage nor end it.
+Masks leave few or no seeds to short items; those have seeds of adjacent tokens too, so short that one is always intact.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from triplane.llm.common import durable, fresh, once, table, text_key
 MASKS = ((0, 1, 2, 4, 7), (0, 2, 3, 6, 8), (0, 1, 4, 5, 9))
 #: A document holds an item if in some stretch of STRETCH of the item's tokens (all of a shorter one's) this share is equal.
 STRETCH, SHARE = 13, 0.75
+#: Items of fewer tokens have seeds of adjacent tokens too; of longer ones masks miss few patterns of substitutions.
+LONG = 20
 TOKEN = r"[\p{L}\p{N}]+"
 BROADCAST_ROWS = 400_000
 
@@ -25,22 +30,38 @@ def _tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0)), lambda w: F.xxhash64(w))
 
 
-def _seeds(tokens: str) -> Column:
-    """Of all masks, one after the other, the hash at each token; null where the mask reaches beyond the end."""
+def run_length(n: int) -> int:
+    """Adjacent tokens that are equal somewhere in an item of ``n`` tokens wherever a document that holds it differs."""
+    stretch = min(n, STRETCH)
+    least = ceil(SHARE * stretch)
+    return ceil(least / (stretch - least + 1))
+
+
+#: The run lengths of items of 1, 2, ... tokens.
+RUNS = tuple(run_length(n) for n in range(1, LONG))
+
+
+def _seeds(tokens: str, runs: list[int], own: bool) -> Column:
+    """Of all masks and runs, one after the other, the hash at each token; null where one reaches beyond the end.
+
+    own: runs only of the length that an item of so many tokens needs.
+    """
 
     def of(number: int, mask: tuple[int, ...]) -> Column:
         def at(_: Column, i: Column) -> Column:
             inside = i + mask[-1] < F.size(tokens)
+            if own and number >= len(MASKS):
+                inside = inside & (F.get(F.array(*map(F.lit, RUNS)), F.size(tokens) - 1) == len(mask))
             return F.when(inside, F.xxhash64(F.lit(number), *(F.get(tokens, i + p) for p in mask)))
 
         return F.transform(tokens, at)
 
-    return F.concat(*(of(k, m) for k, m in enumerate(MASKS)))
+    return F.concat(*(of(k, m) for k, m in enumerate(MASKS)), *(of(len(MASKS) + n, tuple(range(n))) for n in runs))
 
 
-def _spread(df: DataFrame) -> DataFrame:
+def _spread(df: DataFrame, runs: list[int], own: bool = False) -> DataFrame:
     """``df`` (with ``tokens``) as one row per seed: its other columns, ``hash`` and ``place``."""
-    made = once(df, seeds=_seeds("tokens"), n_tokens=F.size("tokens")).drop("tokens")
+    made = once(df, seeds=_seeds("tokens", runs, own), n_tokens=F.size("tokens")).drop("tokens")
     rows = made.select(*(c for c in made.columns if c != "seeds"), F.posexplode("seeds").alias("at", "hash"))
     return rows.where("hash is not null").withColumn("place", F.col("at") % F.col("n_tokens")).drop("at", "n_tokens")
 
@@ -49,18 +70,20 @@ def mark(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` with ``leaks`` added: an array of ``item_id, hits, matched, item_tokens, best``, by item.
 
     hits: seeds that the best alignment shares; matched: the item's tokens that are equal along it; best: the largest number
-    equal in any stretch. Items or texts that are null or have fewer tokens than the shortest mask spans can't be found.
+    equal in any stretch. Items or texts that are null or have no tokens can't be found.
     Repeated items count under each id, an item with a null id isn't used; all rows of ``docs`` stay. A column ``leaks`` is
     replaced.
     """
     docs = docs.drop("leaks")
     known = once(items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text"), tokens=_tokens(F.col("text"))).drop("text")
     known = durable(known)
-    seeds = _spread(known).select("hash", "item_id", F.col("place").alias("item_place"))
+    sizes = [r[0] for r in known.select(F.size("tokens")).where(F.size("tokens").between(1, LONG - 1)).distinct().collect()]  # under LONG rows
+    runs = sorted({RUNS[n - 1] for n in sizes})
+    seeds = _spread(known, runs, own=True).select("hash", "item_id", F.col("place").alias("item_place"))
     small = seeds.count() <= BROADCAST_ROWS
     fit = F.broadcast if small else (lambda df: df)
     a, b = text_key(F.col("text"))
-    places = _spread(once(docs.where(F.col("text").isNotNull()).select("text", a, b), tokens=_tokens(F.col("text"))).drop("text"))
+    places = _spread(once(docs.where(F.col("text").isNotNull()).select("text", a, b), tokens=_tokens(F.col("text"))).drop("text"), runs)
     hits = places.join(fit(seeds), "hash").groupBy("key_a", "key_b", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.count("*").alias("hits"))
     tried = hits.join(fit(known), "item_id").groupBy("key_a", "key_b").agg(F.collect_list(F.struct("item_id", "shift", "hits", "tokens")).alias("tried"))
     tried = durable(tried)
