@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triplane.storage import durable as durable
+
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,17 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the shared checkpoint folder, so that a lost executor loses none of it.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="triplane-"))
-    return df.checkpoint(eager=True)
-
-
 def text_key(text: Column) -> list[Column]:
     """128 bits that stand for a text: two hashes that don't follow from each other."""
     return [F.xxhash64(text).alias("key_a"), F.xxhash64(F.lit(7), text).alias("key_b")]
@@ -66,7 +56,11 @@ BATCH_ROWS = 500
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Has the session send Python workers at most BATCH_ROWS rows at a time, unless it sends fewer already."""
+    """Has the session send Python workers at most BATCH_ROWS rows at a time, unless it sends fewer already.
+
+    Every operator that has Python workers asks for it. The setting stays, since a result may be computed after its operator
+    has returned.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, BATCH_ROWS)

@@ -18,13 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from triplane.llm.common import give_back, held_out, table
+from triplane.llm.common import give_back, held_out, small_batches, table
 
 UNKNOWN = "und"
 WINDOW = 256
 WIDTHS = (2, 3, 4)
-#: Bound of the sample that the network learns from: documents a language, windows a document, languages.
-DOCS_PER_LANGUAGE, WINDOWS_PER_DOC, LANGUAGES = 600, 4, 256
+#: Bound of the sample that the network learns from: documents a language, windows a document, documents in all.
+DOCS_PER_LANGUAGE, WINDOWS_PER_DOC, MOST_DOCS = 600, 4, 150_000
 CHUNK = 48  # windows that are convolved at a time
 
 
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, windows: in
     """A network that learns from rows with a text and a ``lang`` that are not held out.
 
     The sample is bounded: of each language the documents whose ids hash lowest, and of each of those some windows, spread
-    evenly over its whole text; of the languages the ``LANGUAGES`` first by name.
+    evenly over its whole text. With very many languages each has fewer documents, so that there are MOST_DOCS in all.
     """
     size = F.length("text")
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (size > 0)).select(
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, windows: in
     )
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "pieces"))
     chosen = known.withColumn("rank", rank).where(F.col("rank") <= docs_per_language)
-    rows = chosen.orderBy("lang", "rank").limit(LANGUAGES * docs_per_language).collect()
+    rows = sorted(chosen.orderBy("rank", "lang").limit(MOST_DOCS).collect(), key=lambda r: (r.lang, r.rank))
     pieces = [(p.encode(), r.lang) for r in rows for p in r.pieces]
     return train([p for p, _ in pieces], [lang for _, lang in pieces])
 
@@ -197,6 +197,7 @@ def identify(docs: DataFrame, model: ByteCNN) -> DataFrame:
         tables = None
         give_back()
 
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     kept = list(range(len(docs.columns)))
     from pyspark.sql.types import DoubleType, StringType, StructType
@@ -205,5 +206,6 @@ def identify(docs: DataFrame, model: ByteCNN) -> DataFrame:
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: the language predicted, its probability, and whether the document was held out of learning."""
     docs = table(spark, sf_dir, "documents")
     return identify(docs.select("doc_id", "text"), fit(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplane.llm.common import give_back, table
+from triplane.llm.common import give_back, small_batches, table
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
@@ -165,12 +165,14 @@ def pack(docs: DataFrame, longest: int = 2048, vocabulary: str | None = None, en
         del ids_of
         give_back()
 
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     packed = slim.mapInArrow(pieces, "doc_id long, start long, length long, doc_tokens long, ids binary")
     return packed.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece of a document: its place, a checksum of its token ids, and its sequence."""
     return pack(table(spark, sf_dir, "documents")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )

@@ -61,6 +61,7 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int | None = None) -> DataFr
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its shard of 8 and its place there."""
     return shard(table(spark, sf_dir, "documents"), 8).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

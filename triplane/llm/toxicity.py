@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplane.llm.common import held_out, table
+from triplane.llm.common import give_back, held_out, small_batches, table
 from triplane.llm.hashing import runs, word_hashes
 
 #: Bound of the sample: documents that hash lowest, of each label, and the most characters that one may have to be drawn.
@@ -217,7 +217,8 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_label: int = DOCS_PER_LABEL
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``docs`` with ``score`` added: 0 to 1, from its words alone. A null or empty text scores as one without any word.
 
-    All rows stay, repeated ones too. A column of that name is replaced.
+    All rows stay, repeated ones too; texts are scored whole, however long; an empty table stays empty. A column of that
+    name is replaced.
     """
     from pyspark.sql.types import DoubleType, StructType
 
@@ -241,12 +242,15 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 x = features(top, np.bincount(doc, value, b - a), np.diff(starts).astype(float))
                 out.append(1 / (1 + np.exp(-np.clip(x @ lexicon.slopes + lexicon.bias, -30, 30))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.empty(0))], schema=batch.schema.append(pa.field("score", pa.float64())))
+        give_back()
 
+    small_batches(docs.sparkSession)
     docs = docs.drop("score")
     return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("score", DoubleType()))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its toxicity, the verdict at 0.3, and whether it was held out of learning."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
