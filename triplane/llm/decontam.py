@@ -23,6 +23,8 @@ STRETCH, SHARE = 13, 0.75
 LONG = 20
 TOKEN = r"[\p{L}\p{N}]+"
 BROADCAST_ROWS = 400_000
+#: Of more seeds than those, the hashes alone are broadcast up to this number (16 bytes each).
+FILTER_ROWS = 4_000_000
 
 
 def _tokens(text: Column) -> Column:
@@ -66,13 +68,35 @@ def _spread(df: DataFrame, runs: list[int], own: bool = False) -> DataFrame:
     return rows.where("hash is not null").withColumn("place", F.col("at") % F.col("n_tokens")).drop("at", "n_tokens")
 
 
+def _compared(shifts: Column, item: Column, text: Column) -> Column:
+    """The best alignment of an item's tokens with a text's: ``best, matched, hits``; null if none holds the item."""
+    need = F.ceil(SHARE * F.least(F.size(item), F.lit(STRETCH)))
+    width = F.least(F.size(item), F.lit(STRETCH))
+    total = lambda part: F.aggregate(part, F.lit(0), lambda s, e: s + e)
+
+    def aligned(x: Column) -> Column:
+        # A shift below 0 asks for tokens before the first; get() gives null for them, as beyond the last.
+        equal = F.transform(item, lambda t, q: F.when(F.get(text, x["shift"].cast("int") + q) == t, 1).otherwise(0))
+        return F.struct(equal.alias("equal"), total(equal).alias("matched"), x["hits"].alias("hits"))
+
+    def summed(x: Column) -> Column:
+        best = F.array_max(F.transform(F.sequence(F.lit(1), F.size(item) - width + 1), lambda s: total(F.slice(x["equal"], s, width))))
+        return F.struct(best.alias("best"), x["matched"].alias("matched"), x["hits"].alias("hits"))
+
+    likely = F.filter(F.transform(shifts, aligned), lambda x: x["matched"] >= need)
+    return F.array_max(F.filter(F.transform(likely, summed), lambda x: x["best"] >= need))
+
+
+LEAKS = "array<struct<item_id:bigint,hits:bigint,matched:int,item_tokens:int,best:int>>"
+
+
 def mark(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` with ``leaks`` added: an array of ``item_id, hits, matched, item_tokens, best``, by item.
 
     hits: seeds that the best alignment shares; matched: the item's tokens that are equal along it; best: the largest number
-    equal in any stretch. Items or texts that are null or have no tokens can't be found.
-    Repeated items count under each id, an item with a null id isn't used; all rows of ``docs`` stay. A column ``leaks`` is
-    replaced.
+    equal in any stretch. Items or texts that are null or have no tokens can't be found; texts are taken whole, however
+    long. Repeated items count under each id, an item with a null id isn't used; all rows of ``docs`` stay, repeated ones
+    too, and an empty table stays empty. A column ``leaks`` is replaced.
     """
     docs = docs.drop("leaks")
     known = once(items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text"), tokens=_tokens(F.col("text"))).drop("text")
@@ -80,40 +104,28 @@ def mark(docs: DataFrame, items: DataFrame) -> DataFrame:
     sizes = [r[0] for r in known.select(F.size("tokens")).where(F.size("tokens").between(1, LONG - 1)).distinct().collect()]  # under LONG rows
     runs = sorted({RUNS[n - 1] for n in sizes})
     seeds = _spread(known, runs, own=True).select("hash", "item_id", F.col("place").alias("item_place"))
-    small = seeds.count() <= BROADCAST_ROWS
-    fit = F.broadcast if small else (lambda df: df)
+    bulk = known.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
+    fit = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
+    n_seeds = seeds.count()
+    texts = docs.where(F.col("text").isNotNull()).select("text", *text_key(F.col("text")))
+    places = _spread(once(texts, tokens=_tokens(F.col("text"))).drop("text"), runs)
+    if BROADCAST_ROWS < n_seeds <= FILTER_ROWS:  # hashes alone are small enough to keep most places out of the shuffle
+        places = places.join(F.broadcast(seeds.select("hash").distinct()), "hash", "left_semi")
+    hits = places.join(fit(seeds, n_seeds), "hash").groupBy("key_a", "key_b", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.count("*").alias("hits"))
+    # A text and an item lie over each other in no more ways than they have tokens.
+    tried = durable(hits.groupBy("key_a", "key_b", "item_id").agg(F.collect_list(F.struct("shift", "hits")).alias("shifts")))
+    keys = durable(tried.select("key_a", "key_b").distinct())
+    # The tokens of those texts, each once, however many rows have it.
+    again = texts.join(fit(keys, keys.count()), ["key_a", "key_b"], "left_semi")
+    again = once(again, words=_tokens(F.col("text"))).groupBy("key_a", "key_b").agg(F.first("words").alias("words"))
+    told = tried.join(again, ["key_a", "key_b"]).join(fit(known, bulk), "item_id")
+    told = once(told, found=_compared(F.col("shifts"), F.col("tokens"), F.col("words")), item_tokens=F.size("tokens")).where("found is not null")
+    leak = F.struct("item_id", "found.hits", "found.matched", "item_tokens", "found.best")
+    ka, kb, lk = (fresh(docs, x) for x in ("_ka", "_kb", "_leaks"))
+    held = durable(told.groupBy("key_a", "key_b").agg(F.array_sort(F.collect_list(leak)).alias(lk)).toDF(ka, kb, lk))  # no more than there are items
     a, b = text_key(F.col("text"))
-    places = _spread(once(docs.where(F.col("text").isNotNull()).select("text", a, b), tokens=_tokens(F.col("text"))).drop("text"), runs)
-    hits = places.join(fit(seeds), "hash").groupBy("key_a", "key_b", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.count("*").alias("hits"))
-    tried = hits.join(fit(known), "item_id").groupBy("key_a", "key_b").agg(F.collect_list(F.struct("item_id", "shift", "hits", "tokens")).alias("tried"))
-    tried = durable(tried)
-    ka, kb, tk, tr, vf = (fresh(docs, x) for x in ("_ka", "_kb", "_tokens", "_tried", "_verified"))
-    tried = tried.toDF(ka, kb, tr)
-    few = tried.count() <= BROADCAST_ROWS // 8
-    out = docs.join(F.broadcast(tried) if few else tried, (a == F.col(ka)) & (b == F.col(kb)), "left").drop(ka, kb)
-    out = once(out, **{tk: F.when(F.col(tr).isNotNull(), _tokens(F.col("text")))})
-
-    def compared(x: Column) -> Column:
-        equal = F.transform(x["tokens"], lambda t, q: F.when(F.get(F.col(tk), x["shift"].cast("int") + q) == t, 1).otherwise(0))
-        return F.struct(x["item_id"].alias("item_id"), x["hits"].alias("hits"), equal.alias("equal"))
-
-    def summed(x: Column) -> Column:
-        n = F.size(x["equal"])
-        w = F.least(n, F.lit(STRETCH))
-        total = lambda part: F.aggregate(part, F.lit(0), lambda s, e: s + e)
-        best = F.array_max(F.transform(F.sequence(F.lit(1), n - w + 1), lambda s: total(F.slice(x["equal"], s, w))))
-        return F.struct(x["item_id"].alias("item_id"), best.alias("best"), total(x["equal"]).alias("matched"), x["hits"].alias("hits"), n.alias("item_tokens"))
-
-    # A shift below 0 asks for tokens before the first; get() gives null for them, as beyond the last.
-    out = once(out, **{vf: F.transform(F.col(tr), compared)})
-    out = once(out, **{vf + "2": F.filter(F.transform(F.col(vf), summed), lambda x: x["best"] >= F.ceil(SHARE * F.least(x["item_tokens"], F.lit(STRETCH))))})
-    found = F.col(vf + "2")
-    best_of = F.transform(
-        F.array_sort(F.array_distinct(F.transform(found, lambda x: x["item_id"]))),
-        lambda i: F.array_max(F.filter(found, lambda x: x["item_id"] == i)),
-    )
-    leaks = F.transform(best_of, lambda x: F.struct(x["item_id"].alias("item_id"), x["hits"].alias("hits"), x["matched"].alias("matched"), x["item_tokens"].alias("item_tokens"), x["best"].alias("best")))
-    return once(out, leaks=F.coalesce(leaks, F.array().cast("array<struct<item_id:bigint,hits:bigint,matched:int,item_tokens:int,best:int>>"))).drop(tk, tr, vf, vf + "2")
+    out = docs.join(fit(held, held.count()), (a == F.col(ka)) & (b == F.col(kb)), "left")
+    return out.withColumn("leaks", F.coalesce(F.col(lk), F.array()).cast(LEAKS)).drop(ka, kb, lk)
 
 
 def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

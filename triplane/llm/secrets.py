@@ -144,19 +144,20 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         docs = docs.join(F.broadcast(found) if rows <= BROADCAST_ROWS else found, (a == found[ka]) & (b == found[kb]), "left").drop(ka, kb)
     else:
         docs = docs.withColumn(mask, F.lit(0).cast("long"))
+    hit_of, list_of = ([fresh(docs, f"_{x}{i}") for i in range(len(rules))] for x in "hl")
     hits, lists = {}, {}
     for i, r in enumerate(rules):
         hit = F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))
-        hits[f"_h{i}"] = F.when(F.col(mask).bitwiseAND(1 << i) != 0, hit) if i in queries else hit
+        hits[hit_of[i]] = F.when(F.col(mask).bitwiseAND(1 << i) != 0, hit) if i in queries else hit
     made = once(docs, **hits)
     for i, r in enumerate(rules):
-        part = lambda kind, i=i: F.when(F.size(f"_h{i}") > 0, kind)
-        value = F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.group)) if r.group else F.col(f"_h{i}")
-        lists[f"_l{i}"] = part(F.arrays_zip(F.transform(F.split("text", r.pattern, -1), F.length).alias("gap"), F.transform(f"_h{i}", F.length).alias("size"), F.transform(value, F.length).alias("value")))
+        part = lambda kind, i=i: F.when(F.size(hit_of[i]) > 0, kind)
+        value = F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.group)) if r.group else F.col(hit_of[i])
+        lists[list_of[i]] = part(F.arrays_zip(F.transform(F.split("text", r.pattern, -1), F.length).alias("gap"), F.transform(hit_of[i], F.length).alias("size"), F.transform(value, F.length).alias("value")))
     made = once(made, **lists)
     spans = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     for i, r in enumerate(rules):
-        spans = F.concat(spans, F.coalesce(_placed(f"_l{i}", i, r), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")))
+        spans = F.concat(spans, F.coalesce(_placed(list_of[i], i, r), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")))
     return once(made, spans=F.array_sort(spans)).drop(mask, *hits, *lists)
 
 
@@ -199,6 +200,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: counts of the base kinds, a digest of their spans, and all spans as text."""
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text_of = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
