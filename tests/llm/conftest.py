@@ -47,5 +47,5 @@ def clashing(docs):
     """The same rows with columns of names that operators might use inside."""
     from pyspark.sql import functions as F
 
-    names = ["_once", "_words", "tokens", "spans", "leaks", "entities", "licenses", "score", "lang_pred", "key_a", "key_b", "_ka", "_kb", "kept", "n_words", "node", "band", "class_id", "shard", "size", "hash", "at", "_map", "rank"]
+    names = ["_once", "_words", "tokens", "spans", "leaks", "entities", "licenses", "score", "lang_pred", "key_a", "key_b", "_ka", "_kb", "kept", "n_words", "node", "band", "class_id", "shard", "size", "hash", "at", "_map", "rank", "_h0", "_l0", "_lang", "_source", "_kept", "_fences0", "_fences2", "_pairs", "_lines", "_rules", "_leaks", "_found", "_tag", "_order", "row", "none", "seeds", "shifts", "text_", "doc_id_"]
     return docs.select("*", *(F.lit("x").alias(n) for n in names))
