@@ -7,7 +7,7 @@ os.environ.setdefault("TZ", "UTC")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     made = (
         SparkSession.builder.master("local[4]")
         .config("spark.driver.memory", "4g")
@@ -15,6 +15,8 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     made.sparkContext.setLogLevel("ERROR")

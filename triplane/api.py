@@ -15,9 +15,11 @@ import triplane.operators.idoc
 import triplane.operators.search
 import triplane.operators.vectors  # noqa: F401  their functions join the query language
 from triplane.plans.lower import run
+from triplane.operators.entity import entity
 from triplane.plans.query import parse
+from triplane.sources.store import connect
 
-__all__ = ["Database", "from_entities", "open_star", "q", "explain", "answer"]
+__all__ = ["Database", "answer", "connect", "entity", "explain", "from_entities", "open_star", "q"]
 
 
 def q(query: Any, *inputs: Any) -> DataFrame:

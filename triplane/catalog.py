@@ -43,6 +43,10 @@ class Database:
     attributes: dict[str, Attribute]
     #: Tables in which no two rows have one id; results that hold such ids need no deduplication.
     keyed: frozenset[str] = frozenset({"entities"})
+    #: Search indexes by attribute, built when first asked for or opened from where they were saved.
+    indexes: dict = field(default_factory=dict, compare=False)
+    #: Embedded values by attribute and provider.
+    vectors: dict = field(default_factory=dict, compare=False)
 
     def attribute(self, name: str) -> Attribute:
         if name not in self.attributes:
@@ -64,23 +68,25 @@ class Database:
         return out if out is not None else self.spark.createDataFrame([], "e long, a string, v string")
 
     def with_table(self, name: str, df: DataFrame, attributes: Iterable[Attribute] = ()) -> Database:
-        return replace(self, tables=self.tables | {name: df}, attributes=self.attributes | {a.name: a for a in attributes})
+        kept = {a: i for a, i in self.indexes.items() if self.attributes[a].table != name}
+        return replace(self, tables=self.tables | {name: df}, attributes=self.attributes | {a.name: a for a in attributes}, indexes=kept, vectors={})
 
 
 def from_table(db: Database, name: str, df: DataFrame, key: str | None, prefix: str = "", refs: Iterable[str] = ()) -> Database:
     """``db`` with the columns of ``df`` as attributes ``:name/column``; ``prefix`` is cut from columns' names.
 
-    ``key`` is the column with entity ids, unique in the table; integer columns become long, so that references join.
+    ``key`` is the column with entity ids, unique in the table; without one, column ``e`` holds ids that are unique. Integer
+    columns become long, so that references join.
     """
     wide = df.select(*(F.col(f"`{c}`").cast("long").alias(c) if t in ("int", "smallint", "tinyint") else F.col(f"`{c}`") for c, t in df.dtypes))
     if key is not None:
         wide = wide.withColumn("e", F.col(f"`{key}`"))
     attrs = []
-    for c in df.columns:
+    for c in (c for c in df.columns if key is not None or c != "e"):
         short = c.removeprefix(prefix)
         attrs.append(Attribute(f":{name}/{short}", name, c, ref=short in refs, unique=":db.unique/identity" if c == key else None))
     made = db.with_table(name, wide, attrs)
-    return replace(made, keyed=made.keyed | {name}) if key is not None else made
+    return replace(made, keyed=made.keyed | {name})
 
 
 #: Of the driver's tables: key, prefix of columns, references.
@@ -92,17 +98,23 @@ STAR = {
 
 
 def open_star(spark: SparkSession, sf_dir: str, *names: str) -> Database:
-    """The driver's tables (all, or those named) as a database. A line item has no key: a struct of its columns is its id."""
+    """The driver's tables (all, or those named) as a database. A line item has no key: its place in its file is its id."""
     db = Database(spark, {}, {})
     for name in names or STAR:
         key, prefix, refs = STAR[name]
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        db = from_table(db, name, df, key, prefix, refs)
-        if key is None:
-            db = db.with_table(name, db.tables[name].withColumn("e", F.struct(*df.columns)))
+        db = from_table(db, name, df if key else with_place(df), key, prefix, refs)
     return db
 
 
+def with_place(df: DataFrame) -> DataFrame:
+    """Rows of Parquet files with ``e``, which no two share: the file and the row's number in it.
+
+    Readers give both without reading a column, and filters and the choice of columns still reach the scan.
+    """
+    return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("e"))
+
+
 def from_entities(spark: SparkSession, entities: Iterable[dict], schema: dict | None = None) -> Database:
     """A database of maps with ``:db/id`` and attributes; for what the schema doesn't say, types follow from the values."""
     schema, entities = dict(schema or {}), [dict(e) for e in entities]

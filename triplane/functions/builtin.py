@@ -5,7 +5,8 @@ goes. Truth: all but null and false, so a predicate
 that gives another value holds wherever it isn't null.
 
 Where the language of the original and Spark differ: integer division gives a double, not a ratio; ``_`` in LIKE stands
-for one character; regular expressions are Java's.
+for one character; regular expressions are Java's. ``=`` holds between numbers of one kind only, whole or broken, ``==``
+between any.
 """
 
 from __future__ import annotations
@@ -114,13 +115,47 @@ def _together(items: tuple) -> Column:
 
 
 def _found(pattern: Any, s: Any) -> Column:
-    return F.when(col(s).rlike(str(pattern)), F.regexp_extract(col(s), str(pattern), 0))
+    """The first match; with groups an array of it and what each group holds."""
+    import re
+
+    made = [F.regexp_extract(col(s), str(pattern), i) for i in range(re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", str(pattern))).groups + 1)]
+    return F.when(col(s).rlike(str(pattern)), F.array(*made) if len(made) > 1 else made[0])
 
 
 def _nonempty(a: Column) -> Column:
     return F.when(F.size(a) > 0, a)
 
 
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def _kind(spark_type: str) -> str:
+    """What of its Spark type counts when values are compared for equality."""
+    return "whole" if spark_type in _WHOLE else "whole" if spark_type.endswith(",0)") and spark_type.startswith("decimal") else "broken" if spark_type in ("float", "double") else "exact" if spark_type.startswith("decimal") else ""
+
+
+@typed("=")
+def equal(kinds: list[str], *args: Any) -> Column:
+    """Equal, and of one kind of number: 1 is not 1.0."""
+    numbers = {_kind(k) for k in kinds if k != "symbol"} - {""}
+    return F.lit(False) if len(numbers) > 1 else FUNCTIONS["="](*args)
+
+
+@typed("==")
+def same_number(kinds: list[str], *args: Any) -> Column:
+    """Equal as numbers; whole ones exactly, others as doubles."""
+    whole = all(_kind(k) in ("whole", "exact") for k in kinds)
+    return FUNCTIONS["="](*args) if whole else FUNCTIONS["=="](*args)
+
+
+@typed("not=")
+def different_typed(kinds: list[str], *args: Any) -> Column:
+    return ~equal(kinds, *args)
+
+
+TYPED["!="] = different_typed
+
+
 @named("not=", "!=")
 def different(*args: Any) -> Column:
     return ~FUNCTIONS["="](*args)
@@ -156,10 +191,16 @@ def either(kinds: list[str], *args: Any) -> Column:
     return F.coalesce(*(F.when(truth(col(x), k), col(x)) for x, k in zip(args, kinds, strict=True))) if args else F.lit(None)
 
 
-@named("quot")
-def quot(a: Any, b: Any) -> Column:
+@typed("quot")
+def quot(kinds: list[str], a: Any, b: Any) -> Column:
+    """The quotient without its broken part: exact of whole numbers, a double of others."""
+    if all(_kind(k) == "whole" for k in kinds):
+        return F.call_function("div", col(a), col(b))
     x = col(a) / col(b)
-    return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("long")
+    return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double")
+
+
+FUNCTIONS["quot"] = lambda a, b: quot(["bigint", "bigint"], a, b)
 
 
 @named("rem")
@@ -169,7 +210,8 @@ def rem(a: Any, b: Any) -> Column:
 
 @named("mod")
 def mod(a: Any, b: Any) -> Column:
-    return ((col(a) % col(b)) + col(b)) % col(b)
+    rest = col(a) % col(b)
+    return F.when((rest != 0) & ((rest < 0) != (col(b) < 0)), rest + col(b)).otherwise(rest)
 
 
 @named("in")

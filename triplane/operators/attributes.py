@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from triplane.edn import Symbol
 from triplane.functions.builtin import col
-from triplane.plans.lower import SOURCE_FUNCTIONS, Env, c_, expression, run
-from triplane.plans.query import is_source, is_var, parse
+from triplane.plans.lower import RELATION_FUNCTIONS, SOURCE_FUNCTIONS, Env, Relations, c_, expression, run, unique_names
+from triplane.plans.query import has_aggregate, is_source, is_var, parse
 
 
 def source_of(args: tuple) -> tuple[str, list]:
@@ -64,27 +65,39 @@ def missing(env: Env, df: DataFrame, args: tuple) -> DataFrame:
     return _drop(df.withColumn("_r", v.isNull()), 1)
 
 
-def nested(env: Env, df: DataFrame, args: tuple) -> DataFrame:
-    """A query in a query: it takes sources and constants, so it is run once and its rows are bound as a relation."""
+def nested(env: Env, rels: Relations, args: tuple) -> DataFrame:
+    """A query in a query: its rows are a relation, computed once.
+
+    It takes sources, constants and variables of the outer query. For those it is answered once for all their values, which
+    stay beside its rows as columns, groups of its aggregates are parted by them, and the outer query joins on them.
+    """
     form, *values = args
-    inputs = []
-    for v in values:
-        if is_source(v):
-            inputs.append(env.source(str(v)))
-        elif is_var(v):
-            if str(v) not in env.constants:
-                raise ValueError("a nested query takes sources and constants")
-            inputs.append(env.constants[str(v)])
-        else:
-            inputs.append(v)
     parsed = parse(form)
-    rows = run(parsed, *inputs)
-    if parsed.shape == "scalar":
-        return df.crossJoin(rows.select(c_(rows.columns[0]).alias("_r")))
-    item = c_(rows.columns[0]) if parsed.shape == "collection" else F.struct(*map(c_, rows.columns))
-    if parsed.shape == "tuple":
-        return df.crossJoin(rows.select(item.alias("_r")))
-    return df.crossJoin(rows.select(F.array(item).alias("_r")))
+    spec = parsed.inputs or [Symbol("$")]
+    inputs, kept, outer = [], [], []
+    for s, v in zip(spec, values, strict=True):
+        if is_var(v) and str(v) not in env.constants:
+            if not is_var(s):
+                raise ValueError("a variable of the outer query is for one variable of the nested one")
+            outer.append((str(s), str(v)))
+            continue
+        kept.append(s)
+        inputs.append(env.source(str(v)) if is_source(v) else env.constants[str(v)] if is_var(v) else v)
+    if not outer:
+        rows = run(parsed, *inputs)
+        keys: list[str] = []
+    else:
+        if parsed.limit is not None or parsed.offset or parsed.shape in ("scalar", "tuple") and not any(map(has_aggregate, parsed.find)):
+            raise ValueError("a nested query with variables of the outer one has all its rows")
+        given = rels.over([v for _, v in outer]).select(*(c_(v).alias(f"{v}''") for _, v in outer)).distinct()
+        inner = [Symbol(s) for s, _ in outer]
+        names = [*(parsed.names or unique_names(parsed.find)), *(f"_k{i}" for i in range(len(outer)))]
+        whole = replace(parsed, find=[*parsed.find, *map(str, inner)], names=names, shape="relation", inputs=[*kept, [inner]], order=[])
+        rows = run(whole, *inputs, given).withColumnsRenamed({f"_k{i}": v for i, (_, v) in enumerate(outer)})
+        keys = [v for _, v in outer]
+    found = [c for c in rows.columns if c not in keys]
+    item = c_(found[0]) if parsed.shape in ("scalar", "collection") else F.struct(*map(c_, found))
+    return rows.select(item.alias("_r"), *map(c_, keys))
 
 
 def udf(env: Env, df: DataFrame, args: tuple) -> DataFrame:
@@ -96,4 +109,5 @@ def udf(env: Env, df: DataFrame, args: tuple) -> DataFrame:
     return df.withColumn("_r", f(*(col(expression(env, df, v)) for v in values)))
 
 
-SOURCE_FUNCTIONS |= {"get-else": get_else, "get-some": get_some, "missing?": missing, "q": nested, "udf": udf}
+SOURCE_FUNCTIONS |= {"get-else": get_else, "get-some": get_some, "missing?": missing, "udf": udf}
+RELATION_FUNCTIONS["q"] = nested

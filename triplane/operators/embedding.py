@@ -19,7 +19,8 @@ from triplane.catalog import Database
 from triplane.edn import Keyword
 from triplane.operators.attributes import source_of
 from triplane.operators.vectors import TOP, neighbors
-from triplane.plans.lower import SOURCE_FUNCTIONS, Env, expression
+from triplane.plans.lower import RELATION_FUNCTIONS, Env, Relations, constant
+from triplane.storage import durable
 
 
 class EmbeddingProvider(Protocol):
@@ -99,23 +100,31 @@ def summarize(model: LanguageModel, text: str, limit: int = 256) -> str:
     return model.generate("Summarize:\n" + " ".join(parts), limit)
 
 
-def embedding_neighbors(env: Env, df: DataFrame, args: tuple) -> DataFrame:
+def embedded(db: Database, name: str, provider: str) -> DataFrame:
+    """Facts ``e, v`` of an attribute with their vectors ``_vec``, made once and kept with the database."""
+    key = f"{name}#{provider}"
+    if key not in db.vectors:
+        db.vectors[key] = durable(db.scan(name).withColumn("_vec", embed(F.col("v"), PROVIDERS[provider])))
+    return db.vectors[key]
+
+
+def embedding_neighbors(env: Env, rels: Relations, args: tuple) -> DataFrame:
     """``(embedding-neighbors $ :attr text opts?)``: rows ``[e a v]`` whose text lies nearest, with distances on request."""
     source, rest = source_of(args)
     db: Database = env.source(source)
     names = [str(rest.pop(0))] if isinstance(rest[0], Keyword) else [a.name for a in db.attributes.values() if a.props.get(":db/embedding")]
-    text = expression(env, df, rest[0])
+    text = constant(env, rest[0])
     opts: dict[str, Any] = rest[1] if len(rest) > 1 else {}
     provider = PROVIDERS[str(opts.get(":provider", "default"))]
     (query,) = provider.embed([text])
     out = None
     for name in names:
-        facts = db.scan(name).withColumn("_vec", embed(F.col("v"), provider))
+        facts = embedded(db, name, str(opts.get(":provider", "default")))
         found = neighbors(facts, "_vec", query, int(opts.get(":top", TOP)), "cosine", key="e")
         cols = [F.col("e"), F.lit(name).alias("a"), F.col("v")] + ([F.col("dist")] if "dists" in str(opts.get(":display", "")) else [])
-        rows = found.select(F.array(F.struct(*cols)).alias("_r"))
+        rows = found.select(F.struct(*cols).alias("_r"))
         out = rows if out is None else out.unionByName(rows)
-    return df.crossJoin(out)
+    return out
 
 
-SOURCE_FUNCTIONS["embedding-neighbors"] = embedding_neighbors
+RELATION_FUNCTIONS["embedding-neighbors"] = embedding_neighbors

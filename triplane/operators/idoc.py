@@ -1,7 +1,8 @@
 """Indexed documents: JSON-like documents in a column, matched, read and patched by paths.
 
-A document is JSON text; EDN and Markdown are normalised to it. Matching of arrays and wildcards is done on parsed documents
-in Arrow batches; before that, constants that every match must hold are looked for in the text by Spark itself.
+A document is JSON text; EDN and Markdown are normalised to it. Queries over maps of plain values are expressions over variants;
+only wildcards, paths, and documents with arrays or broken numbers on the way are walked through in Python, in Arrow batches.
+Before that, constants that every match must hold are looked for in the text.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from triplane.catalog import Database
 from triplane.edn import Keyword, read
 from triplane.operators.attributes import source_of
-from triplane.plans.lower import SOURCE_FUNCTIONS, Env, expression
+from triplane.plans.lower import RELATION_FUNCTIONS, SOURCE_FUNCTIONS, Env, Relations, constant, expression
 
 ONE, ANY = ":?", ":*"
 _COMPARE: dict[str, Callable[[Any, Any], bool]] = {"<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "=": lambda a, b: a == b}
@@ -165,26 +166,82 @@ def needs(query: Any) -> list[str]:
     return [str(query)] if isinstance(query, int) and not isinstance(query, bool) else []
 
 
+def _likely(doc: Column, query: Any) -> Column:
+    """Whether a document's text has all constants of a query, or escapes under which they may hide."""
+    found = F.lit(True)
+    for n in needs(query):
+        found = found & doc.contains(n)
+    return found | doc.contains("\\")
+
+
+def _decided(value: Column, query: Any) -> Column | None:
+    """Whether a document, a variant, satisfies a query, as an expression: null where it must be walked through (arrays on the way,
+    numbers that aren't plain integers). None for a query with wildcards or paths.
+    """
+    if isinstance(query, list) and query and query[0] in (":and", ":or", ":not"):
+        parts = [_decided(value, q) for q in query[1:]]
+        if not parts or any(p is None for p in parts):
+            return None
+        out = parts[0]
+        for p in parts[1:]:
+            out = out & p if query[0] == ":and" else out | p
+        return ~out if query[0] == ":not" else out
+    kind = F.schema_of_variant(value)
+    if isinstance(query, dict):
+        out = F.lit(True)
+        for k, q in query.items():
+            if k in (ONE, ANY) or isinstance(k, int) or "'" in key(k) or "\\" in key(k):
+                return None
+            part = _decided(F.try_variant_get(value, f"$['{key(k)}']", "variant"), q)
+            if part is None:
+                return None
+            out = out & part
+        return F.when(value.isNull(), False).when(kind.startswith("OBJECT"), out).when(kind.startswith("ARRAY"), None).otherwise(False)
+    if isinstance(query, tuple):
+        op, *args = query
+        if str(op) == "nil?" and not args:
+            return F.when(value.isNull(), False).when(kind.startswith("ARRAY"), None).otherwise(F.is_variant_null(value))
+        if str(op) not in _COMPARE or not args or not all(type(x) is int and abs(x) < 2**63 for x in args):
+            return None
+        chain = [F.try_variant_get(value, "$", "bigint"), *(F.lit(x).cast("long") for x in args)]
+        test = F.lit(True)
+        for x, y in zip(chain, chain[1:], strict=False):
+            test = test & _COMPARE[str(op)](x, y)
+        return F.when(value.isNull(), False).when(kind == "BIGINT", test).when(kind.isin("STRING", "BOOLEAN", "VOID") | kind.startswith("OBJECT"), False)
+    if isinstance(query, bool):
+        same, named = F.try_variant_get(value, "$", "boolean") == query, "BOOLEAN"
+    elif type(query) is int and abs(query) < 2**63:
+        same, named = F.try_variant_get(value, "$", "bigint") == F.lit(query).cast("long"), "BIGINT"
+    elif isinstance(query, str) and not isinstance(query, Keyword):
+        same, named = F.try_variant_get(value, "$", "string") == str(query), "STRING"
+    else:
+        return None
+    return F.when(value.isNull(), False).when(kind == named, same).when(kind.isin("BIGINT", "STRING", "BOOLEAN", "VOID") | kind.startswith("OBJECT"), False)
+
+
 def match(doc: Column, query: Any) -> Column:
-    """Whether documents (JSON text) satisfy a query."""
+    """Whether documents (JSON text) satisfy a query. Only those that no expression can decide are parsed in Python."""
     query = read(query) if isinstance(query, str) and query[:1] in "{[(" else query
-    test = F.lit(True)
-    for n in needs(query):
-        test = test & doc.contains(n)
+    test = _likely(doc, query)
 
     @F.pandas_udf("boolean")
     def verified(docs: pd.Series) -> pd.Series:
-        return docs.map(lambda d: d is not None and matches(json.loads(d), query))
+        return docs.map(lambda d: d is not None and matches(json.loads(d), query)).astype(bool)
 
-    return F.when(test, verified(doc)).otherwise(False) if query != {} else doc.isNotNull()
+    if query == {}:
+        return doc.isNotNull()
+    parsed = F.try_parse_json(doc)
+    known = _decided(parsed, query)
+    if known is None:
+        return F.when(test, verified(doc)).otherwise(False)
+    known = F.when(doc.isNull() | ~test, False).when(parsed.isNotNull(), known)
+    return F.coalesce(known, verified(F.when(known.isNull(), doc)))
 
 
 def filtered(df: DataFrame, doc: Column, query: Any) -> DataFrame:
     """Rows whose document satisfies a query; those without its constants never reach Python."""
     query = read(query) if isinstance(query, str) and query[:1] in "{[(" else query
-    for n in needs(query):
-        df = df.where(doc.contains(n))
-    return df.where(match(doc, query))
+    return df.where(_likely(doc, query)).where(match(doc, query))
 
 
 def get(doc: Column, *path: Any) -> Column:
@@ -239,17 +296,17 @@ def patched(doc: Column, ops: list) -> Column:
     return run(doc)
 
 
-def idoc_match(env: Env, df: DataFrame, args: tuple) -> DataFrame:
+def idoc_match(env: Env, rels: Relations, args: tuple) -> DataFrame:
     """``(idoc-match $ :attr query)``: rows ``[e a v]``."""
     source, rest = source_of(args)
     db: Database = env.source(source)
     names = [str(rest.pop(0))] if isinstance(rest[0], Keyword) else [a.name for a in db.attributes.values() if a.props.get(":db/valueType") == ":db.type/idoc"]
-    query = expression(env, df, rest[0]) if not isinstance(rest[0], (dict, list)) else rest[0]
+    query = constant(env, rest[0])
     out = None
     for name in names:
-        rows = filtered(db.scan(name), F.col("v"), query).select(F.array(F.struct("e", F.lit(name).alias("a"), "v")).alias("_r"))
+        rows = filtered(db.scan(name), F.col("v"), query).select(F.struct("e", F.lit(name).alias("a"), "v").alias("_r"))
         out = rows if out is None else out.unionByName(rows)
-    return df.crossJoin(out)
+    return out
 
 
 def idoc_get(env: Env, df: DataFrame, args: tuple) -> DataFrame:
@@ -257,4 +314,5 @@ def idoc_get(env: Env, df: DataFrame, args: tuple) -> DataFrame:
     return df.withColumn("_r", get(expression(env, df, doc), *path))
 
 
-SOURCE_FUNCTIONS |= {"idoc-match": idoc_match, "idoc-get": idoc_get}
+RELATION_FUNCTIONS["idoc-match"] = idoc_match
+SOURCE_FUNCTIONS["idoc-get"] = idoc_get

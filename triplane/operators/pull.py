@@ -6,6 +6,7 @@ entities of a result are pulled together. :func:`pull` and :func:`pull_many` giv
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -96,15 +97,22 @@ def _spec(x: Any) -> Spec:
     return Spec(name, reverse)
 
 
-def pull_many(db: Database, pattern: Any, ids: list) -> list[dict | None]:
-    """Trees of the given entities, in their order; None for one without any of the facts asked for."""
+Visitor = Callable[[str, Any, Any, Any], Any]
+
+
+def pull_many(db: Database, pattern: Any, ids: list, visitor: Visitor | None = None) -> list[dict | None]:
+    """Trees of the given entities, in their order; None for one without any of the facts asked for.
+
+    The visitor hears of what is read: (":db.pull/attr", e, a, None), (":db.pull/wildcard", e, None, None) and
+    (":db.pull/reverse", None, a, e).
+    """
     pattern = parse(pattern)
-    found = _level(db, pattern, {db_id(db, i) for i in ids}, {})
+    found = _level(db, pattern, {db_id(db, i) for i in ids}, {}, visitor)
     return [found.get(db_id(db, i)) for i in ids]
 
 
-def pull(db: Database, pattern: Any, eid: Any) -> dict | None:
-    return pull_many(db, pattern, [eid])[0]
+def pull(db: Database, pattern: Any, eid: Any, visitor: Visitor | None = None) -> dict | None:
+    return pull_many(db, pattern, [eid], visitor)[0]
 
 
 def db_id(db: Database, x: Any) -> int:
@@ -117,7 +125,7 @@ def db_id(db: Database, x: Any) -> int:
     return x
 
 
-def _level(db: Database, pattern: Pattern, ids: set, seen: dict) -> dict[Any, dict]:
+def _level(db: Database, pattern: Pattern, ids: set, seen: dict, visitor: Visitor | None = None) -> dict[Any, dict]:
     """One level of the tree for all entities at once; the ids that a driver asks for are few, what they refer to is read by joins."""
     specs = list(pattern.specs)
     given = {s.name for s in specs if not s.reverse}
@@ -127,8 +135,14 @@ def _level(db: Database, pattern: Pattern, ids: set, seen: dict) -> dict[Any, di
     if not ids:
         return out
     want = db.spark.createDataFrame([(i,) for i in ids if i is not None], "e long")
+    if visitor and pattern.wildcard:
+        for e in ids:
+            visitor(":db.pull/wildcard", e, None, None)
     for s in specs:
         a = db.attribute(s.name)
+        if visitor and s in pattern.specs:
+            for e in ids:
+                visitor(*((":db.pull/reverse", None, s.name, e) if s.reverse else (":db.pull/attr", e, s.name, None)))
         facts = _facts(db, a, s, want).collect()
         values: dict[Any, list] = {}
         for e, v in facts:
@@ -139,9 +153,9 @@ def _level(db: Database, pattern: Pattern, ids: set, seen: dict) -> dict[Any, di
             inner = s.nested or (["*"] if a.component and not s.reverse else None)
             below = {v for vs in values.values() for v in vs}
             if inner and s.recursion is not None:
-                trees = _recurse(db, s, below, seen | {e: True for e in values})
+                trees = _recurse(db, s, below, seen | {e: True for e in values}, visitor)
             else:
-                trees = _level(db, parse(inner), below, seen) if inner else {}
+                trees = _level(db, parse(inner), below, seen, visitor) if inner else {}
             values = {e: [trees.get(v, {":db/id": v}) if inner else {":db/id": v} for v in vs] for e, vs in values.items()}
             if s.nested and s.recursion is None:
                 values = {e: [t for v, t in zip(vs, ts, strict=True) if t] for (e, ts), vs in zip(values.items(), values.values(), strict=True)}
@@ -169,18 +183,19 @@ def _facts(db: Database, a: Attribute, s: Spec, want: DataFrame) -> DataFrame:
     return facts.join(F.broadcast(want), "e", "left_semi").select("e", "v")  # ``want``: ids named in a driver's call
 
 
-def _recurse(db: Database, s: Spec, ids: set, seen: dict) -> dict:
+def _recurse(db: Database, s: Spec, ids: set, seen: dict, visitor: Visitor | None = None) -> dict:
     """Levels below; an entity already on the way stands as its id alone."""
     fresh = {i for i in ids if i not in seen}
     rest = {i: {":db/id": i} for i in ids if i in seen}
     if s.recursion == 1 or not fresh:
-        return {i: _level(db, parse([x for x in s.nested if not isinstance(x, dict)] or [":db/id"]), {i}, seen).get(i, {":db/id": i}) for i in fresh} | rest
+        last = _level(db, parse([x for x in s.nested if not isinstance(x, dict)] or [":db/id"]), fresh, seen, visitor)
+        return {i: last.get(i, {":db/id": i}) for i in fresh} | rest
     deeper = []
     for x in s.nested:
         if isinstance(x, dict):
             x = {k: (v - 1 if isinstance(v, int) else v) if _spec(k).name == s.name else v for k, v in x.items()}
         deeper.append(x)
-    found = _level(db, parse(deeper), fresh, seen | dict.fromkeys(fresh, True))
+    found = _level(db, parse(deeper), fresh, seen | dict.fromkeys(fresh, True), visitor)
     return {i: found.get(i, {":db/id": i}) for i in fresh} | rest
 
 

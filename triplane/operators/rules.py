@@ -1,5 +1,8 @@
 """Recursive rules: semi-naive evaluation, one Spark job per round.
 
+A round's rows are stored in the shared folder, or, while they are few (SMALL), brought to the driver by the job that makes
+them, so that a small recursion costs no more than its rounds and the next one broadcasts what it knows.
+
 Rules that call each other grow together. In each round a branch is evaluated once for each of its recursive calls, with
 that call reading only the rows new in the last round; rows already known are removed by an anti-join. The loop ends when a
 round finds nothing new, so cycles in the data do no harm. If a call binds an argument that recursion passes on unchanged,
@@ -21,6 +24,8 @@ from triplane.storage import durable
 
 #: What is known is a union of the rounds' results; after so many it is stored as one.
 MOST_PARTS = 12
+#: Rows of a round up to which they are kept on the driver.
+SMALL = 2_000
 
 
 def stable(env: Env, group: set[str], name: str) -> list[int]:
@@ -58,6 +63,14 @@ def _negates(x: Any, group: set[str]) -> bool:
     return False
 
 
+def _stored(df: DataFrame) -> tuple[DataFrame, bool]:
+    """The rows of a round, computed once, and whether there are any."""
+    found = df.limit(SMALL + 1).toArrow()
+    if found.num_rows > SMALL:
+        return durable(df), True
+    return df.sparkSession.createDataFrame(found, df.schema), found.num_rows > 0
+
+
 def fixpoint(env: Env, call: RuleCall, rels: Relations) -> DataFrame:
     """All rows of the rule that ``call`` names (or those that its bound arguments ask for): columns _0, _1, ..."""
     group = group_of(env.rules, call.name)
@@ -96,8 +109,8 @@ def fixpoint(env: Env, call: RuleCall, rels: Relations) -> DataFrame:
         solve(Env(env.spark, env.sources, env.rules, env.constants | constants, env.grown | grown), body, inner)
         df = inner.all()
         for f in formal:
-            if str(f) not in df.columns:
-                df = df.withColumn(str(f), F.lit(constants[str(f)]))
+            if str(f) not in df.columns:  # a function that a rule takes is no value of its rows
+                df = df.withColumn(str(f), F.lit(None).cast("string") if callable(constants[str(f)]) else F.lit(constants[str(f)]))
         return df.select(*(c_(str(f)).alias(f"_{j}") for j, f in enumerate(formal)))
 
     def recursive_calls(rule: Rule) -> int:
@@ -117,7 +130,7 @@ def fixpoint(env: Env, call: RuleCall, rels: Relations) -> DataFrame:
         raise ValueError(f"rule {call.name} has no branch to start from")
     for n in group:
         width = len(env.rules[n][0].args)
-        delta[n] = durable(delta[n].distinct()) if delta[n] is not None else _nothing(env, shape, width)
+        delta[n] = _stored(delta[n].distinct())[0] if delta[n] is not None else _nothing(env, shape, width)
     total, parts = dict(delta), {n: [d] for n, d in delta.items()}
     while True:
         found: dict[str, DataFrame] = {}
@@ -129,17 +142,18 @@ def fixpoint(env: Env, call: RuleCall, rels: Relations) -> DataFrame:
                     part = evaluate(r, delta, total, k)
                     rows = part if rows is None else rows.union(part)
             found[n] = rows.distinct() if rows is not None else total[n].limit(0)
-        fresh = {}
+        fresh, some = {}, False
         for n, rows in found.items():
             right = total[n].select(*(c_(c).alias(f"{c}'") for c in total[n].columns))
             on = [rows[c].eqNullSafe(right[f"`{c}'`"]) for c in rows.columns]
-            fresh[n] = durable(rows.join(right, on, "left_anti"))
-        if all(f.isEmpty() for f in fresh.values()):
+            fresh[n], any_ = _stored(rows.join(right, on, "left_anti"))
+            some = some or any_
+        if not some:
             return total[call.name]
         for n in group:
             parts[n].append(fresh[n])
             if len(parts[n]) > MOST_PARTS:
-                parts[n] = [durable(reduce(DataFrame.union, parts[n]))]
+                parts[n] = [_stored(reduce(DataFrame.union, parts[n]))[0]]
             total[n] = reduce(DataFrame.union, parts[n])
         delta = fresh
 

@@ -1,12 +1,14 @@
 """Full-text search over postings tables.
 
-The index of a domain has a row per document and term with its frequency and positions, and a row per document with its
-number of distinct terms. A search filters postings to the terms asked for before anything is joined, sums scores per
-document, and takes the top by the number of required terms found and then by score.
+The index of a domain has a row per document and term with its frequency and positions and the document's number of
+distinct terms. It is kept: texts are analysed once, when it's built. A search filters postings to the terms asked for,
+groups them by document, and takes the top by the number of required terms found and then by score; of a saved index it
+reads only the files and row groups of its terms.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Callable
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 from triplane.catalog import Database
 from triplane.edn import Keyword
 from triplane.operators.attributes import source_of
-from triplane.plans.lower import SOURCE_FUNCTIONS, Env, expression
+from triplane.plans.lower import RELATION_FUNCTIONS, Env, Relations, constant
+from triplane.storage import durable, shared_folder
 
 STOP_WORDS = frozenset("there these their such with will then into this that they and the are for was not but be if of an in on no to or as is at it by a".split())
 PUNCTUATION = r"""[\s:/.;,!=?"'()\[\]{}|<>&@#^*\\~`]+"""
@@ -42,45 +45,72 @@ def terms_of(text: str) -> list[str]:
 
 @dataclass
 class Index:
-    """postings: doc, term, tf, positions; docs: doc, norm (distinct terms); size: documents ever added."""
+    """postings: doc, term, tf, positions, norm (the document's distinct terms); size: documents ever added."""
 
     postings: DataFrame
-    docs: DataFrame
     size: int
 
+    @property
+    def docs(self) -> DataFrame:
+        """Rows ``doc, norm``."""
+        return self.postings.groupBy("doc").agg(F.first("norm").alias("norm"))
+
     def doc_count(self) -> int:
         return self.docs.count()
 
     def indexed(self, doc: Any) -> bool:
-        return bool(self.docs.where(F.col("doc") == doc).limit(1).count())
+        return not self.postings.where(F.col("doc") == doc).isEmpty()
 
     def add(self, rows: DataFrame) -> Index:
         """With more documents (``doc, text``); those of ids that are there are replaced."""
         new = build(rows)
-        keep = lambda df: df.join(new.docs.select("doc"), "doc", "left_anti")
-        return Index(keep(self.postings).unionByName(new.postings), keep(self.docs).unionByName(new.docs), self.size + new.size)
+        return Index(durable(self.without(rows.select("doc")).postings.unionByName(new.postings)), self.size + new.size)
+
+    def without(self, docs: DataFrame) -> Index:
+        """Without the documents of some ids (column ``doc``)."""
+        return Index(self.postings.join(docs.select("doc").distinct(), "doc", "left_anti"), self.size)
+
+    def remove(self, doc: Any) -> Index:
+        return Index(self.postings.where(F.col("doc") != doc), self.size)
+
+    def clear(self) -> Index:
+        return Index(self.postings.limit(0), 0)
 
     def save(self, path: str) -> None:
-        """Writes the index. Postings lie sorted by term, so a search reads only the files and row groups of its terms."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc").write.parquet(f"{path}/postings")
-        self.docs.write.parquet(f"{path}/docs")
-        self.docs.sparkSession.range(1).select(F.lit(self.size).cast("long").alias("size")).write.parquet(f"{path}/size")
+        """Writes the index. Postings lie sorted by term, so a search reads only the files and row groups of its terms.
+
+        The size is written last: a folder that has it is whole.
+        """
+        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
+        self.postings.sparkSession.range(1).select(F.lit(self.size).cast("long").alias("size")).coalesce(1).write.mode("overwrite").parquet(f"{path}/size")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
-        read = spark.read.parquet
-        return Index(read(f"{path}/postings"), read(f"{path}/docs"), read(f"{path}/size").first()[0])
-
-    def remove(self, doc: Any) -> Index:
-        return Index(self.postings.where(F.col("doc") != doc), self.docs.where(F.col("doc") != doc), self.size)
+        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/size").first()[0])
 
 
 def build(rows: DataFrame, analyzer: Callable[[Column], Column] = tokens) -> Index:
-    """An index of ``doc, text``; documents without a term are not indexed."""
+    """An index of ``doc, text``, stored in the shared folder; documents without a term are not indexed."""
     listed = rows.where("text is not null").select("doc", F.explode(analyzer(F.col("text"))).alias("t")).select("doc", "t.term", "t.position")
-    postings = listed.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
-    docs = postings.groupBy("doc").agg(F.count("*").alias("norm"))
-    return Index(postings, docs, docs.count())
+    postings = durable(listed.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions")))
+    norms = postings.groupBy("doc").agg(F.count("*").alias("norm"))
+    return Index(durable(postings.join(norms, "doc")), norms.count())
+
+
+def kept(rows: DataFrame, name: str) -> Index:
+    """The saved index of a table's ``doc, text`` in the shared folder; built if there is none for the files as they are."""
+    spark = rows.sparkSession
+    files = spark._jvm.org.apache.hadoop.fs
+    stamp = [name]
+    for f in sorted(rows.inputFiles()):
+        path = files.Path(f)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        stamp.append(f"{f} {status.getLen()} {status.getModificationTime()}")
+    folder = f"{shared_folder(spark).rsplit('/', 1)[0]}/indexes/{hashlib.sha256(chr(10).join(stamp).encode()).hexdigest()[:32]}"
+    done = files.Path(f"{folder}/size/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build(rows).save(folder)
+    return Index.load(spark, folder)
 
 
 def _required(query: Any) -> list[str]:
@@ -191,29 +221,29 @@ def _rescored(good: DataFrame, required: list[str], counts: dict[str, int], inde
     return best.withColumn("score", score("found", "norm"))
 
 
-def search(index: Index, query: Any, top: int | None = TOP, proximity: bool = False) -> DataFrame:
+def search(index: Index, query: Any, top: int | None = TOP, proximity: bool = False, doc_filter: Callable[[Column], Column] | None = None) -> DataFrame:
     """Rows ``doc, score``, best first: more of the required terms, then the higher score, then the lesser id.
 
     Score: over terms, (1 + log10 qf) log10(N / df) (1 + log10 tf), by the document's number of distinct terms. A query that
     only negates gives documents of score 0.1 by id, or none if no term of it is indexed. With ``proximity`` the best of each
-    tier are scored anew by how near to each other their hits stand. A ``top`` of None gives all matches.
+    tier are scored anew by how near to each other their hits stand. Documents that ``doc_filter`` (of the id's column)
+    rejects don't count among the top. A ``top`` of None gives all matches.
     """
     required, every = _required(query), _all_terms(query)
+    allowed = (lambda df: df) if doc_filter is None else (lambda df: df.where(doc_filter(F.col("doc"))))
     hits = index.postings.where(F.col("term").isin(*every)) if every else index.postings.limit(0)
-    per_doc = hits.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("found"))
+    found = F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("found")
     if not required:
-        if not hits.limit(1).count():
+        if hits.isEmpty():
             return index.docs.limit(0).select("doc", F.lit(0.1).alias("score"))
-        rest = index.docs.join(per_doc, "doc", "left").where(_holds(query, F.coalesce("found", F.create_map().cast("map<string,array<int>>"))))
-        return _first(rest.select("doc", F.lit(0.1).alias("score")).orderBy("doc"), top)
+        rest = index.docs.join(hits.groupBy("doc").agg(found), "doc", "left").where(_holds(query, F.coalesce("found", F.create_map().cast("map<string,array<int>>"))))
+        return _first(allowed(rest).select("doc", F.lit(0.1).alias("score")).orderBy("doc"), top)
     counts = {t: (terms_of(query).count(t) if isinstance(query, str) else 1) for t in required}
     weight = F.create_map(*(x for t, n in counts.items() for x in (F.lit(t), F.lit(1.0 + math.log10(n)))))
-    mine = hits.where(F.col("term").isin(*required))
-    df = mine.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as the query has terms
-    scored = mine.join(F.broadcast(df), "term").withColumn("s", weight[F.col("term")] * F.log10(F.lit(float(index.size)) / F.col("df")) * (1 + F.log10("tf")))
-    sums = scored.groupBy("doc").agg(F.sum("s").alias("s"), F.count("*").alias("n"))
-    good = sums.join(per_doc, "doc").where(_holds(query, F.col("found"))).join(index.docs, "doc")
-    good = good.withColumn("score", F.col("s") / F.col("norm"))
+    df = hits.where(F.col("term").isin(*required)).groupBy("term").agg(F.count("*").alias("df"))  # as many rows as the query has terms
+    scored = hits.join(F.broadcast(df), "term", "left").withColumn("s", weight[F.col("term")] * F.log10(F.lit(float(index.size)) / F.col("df")) * (1 + F.log10("tf")))
+    sums = scored.groupBy("doc").agg(F.sum("s").alias("s"), F.count("s").alias("n"), F.first("norm").alias("norm"), found).where("n > 0")
+    good = allowed(sums.where(_holds(query, F.col("found")))).withColumn("score", F.col("s") / F.col("norm"))
     if proximity:
         good = _rescored(good, required, counts, index, top)
     return _first(good.select("doc", "n", "score").orderBy(F.col("n").desc(), F.col("score").desc(), "doc"), top).select("doc", "score")
@@ -221,27 +251,52 @@ def search(index: Index, query: Any, top: int | None = TOP, proximity: bool = Fa
 
 def offsets(text: Column, term: str) -> Column:
     """Places (from 0) where a term's words begin in a text."""
-    parts = F.split(F.lower(text), "(?<![^\\s:/.;,!=?\"'()\\[\\]{}|<>&@#^*~`])" + term + "(?![^\\s:/.;,!=?\"'()\\[\\]{}|<>&@#^*~`])", -1)
+    bound = "\\s:/.;,!=?\"'()\\[\\]{}|<>&@#^*~`"
+    parts = F.split(F.lower(text), f"(?<![^{bound}]){re.escape(term)}(?![^{bound}])", -1)
     ends = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p, i: F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda n, x: n + F.length(x)) + i * len(term))
     return ends
 
 
-def fulltext(env: Env, df: DataFrame, args: tuple) -> DataFrame:
-    """``(fulltext $ :attr? query opts?)``: rows ``[e a v]``, and the score with ``{:display :refs+scores}``."""
-    source, rest = source_of(args)
-    rest = [expression(env, df, r) if not isinstance(r, (list, dict)) else r for r in rest]
-    db: Database = env.source(source)
-    attributes = [str(rest.pop(0))] if isinstance(rest[0], Keyword) else [a.name for a in db.attributes.values() if a.props.get(":db/fulltext")]
-    query, opts = rest[0], rest[1] if len(rest) > 1 else {}
-    out = None
-    for a in attributes:
+def index_of(db: Database, attribute: str) -> Index:
+    """The index of an attribute's values, kept with the database: built when it is first asked for."""
+    if attribute not in db.indexes:
+        db.indexes[attribute] = build(db.scan(attribute).select(F.col("e").alias("doc"), F.col("v").alias("text")))
+    return db.indexes[attribute]
+
+
+def re_index(db: Database, attribute: str, analyzer: Callable[[Column], Column] = tokens) -> Index:
+    """The index built anew, as by another analyser."""
+    db.indexes[attribute] = build(db.scan(attribute).select(F.col("e").alias("doc"), F.col("v").alias("text")), analyzer)
+    return db.indexes[attribute]
+
+
+def fulltext_datoms(db: Database, query: Any, attributes: list[str] | None = None, opts: dict | None = None) -> DataFrame:
+    """Facts ``e, a, v, offsets, score`` that match, of the attributes named or of all that are full-text ones.
+
+    Options: ``:top``, ``:proximity``, ``:doc-filter`` (a function of the id's column). offsets: an array of ``term, places``,
+    of the required terms that the text has: where their words begin.
+    """
+    opts, out = opts or {}, None
+    for a in attributes or [x.name for x in db.attributes.values() if x.props.get(":db/fulltext")]:
+        top = opts.get(":top", TOP)
+        found = search(index_of(db, a), query, None if top is None else int(top), bool(opts.get(":proximity")), opts.get(":doc-filter"))
         facts = db.scan(a)
-        found = search(build(facts.select(F.col("e").alias("doc"), F.col("v").alias("text"))), query, int(opts.get(":top", TOP)), bool(opts.get(":proximity")))
-        named = facts.join(found, facts["e"] == found["doc"])
-        cols = [F.col("e"), F.lit(a).alias("a"), F.col("v")] + ([F.col("score")] if "scores" in str(opts.get(":display", "")) else [])
-        rows = named.select(F.array(F.struct(*cols)).alias("_r"))
+        placed = [F.struct(F.lit(t).alias("term"), offsets(F.col("v"), t).alias("places")) for t in _required(query)]
+        places = F.filter(F.array(*placed), lambda x: F.size(x["places"]) > 0) if placed else F.array().cast("array<struct<term:string,places:array<int>>>")
+        rows = facts.join(found, facts["e"] == found["doc"]).select("e", F.lit(a).alias("a"), "v", places.alias("offsets"), "score")
         out = rows if out is None else out.unionByName(rows)
-    return df.crossJoin(out)
+    return out
+
+
+def fulltext(env: Env, rels: Relations, args: tuple) -> DataFrame:
+    """``(fulltext $ :attr? query opts?)``: rows ``[e a v]``; ``:display`` adds offsets or scores where its name has them."""
+    source, rest = source_of(args)
+    rest = [constant(env, r) for r in rest]
+    attributes = [str(rest.pop(0))] if isinstance(rest[0], Keyword) else None
+    query, opts = rest[0], rest[1] if len(rest) > 1 else {}
+    shown = str(opts.get(":display", ""))
+    cols = ["e", "a", "v", *(["offsets"] if "offsets" in shown else []), *(["score"] if "scores" in shown else [])]
+    return fulltext_datoms(env.source(source), query, attributes, opts).select(F.struct(*cols).alias("_r"))
 
 
-SOURCE_FUNCTIONS["fulltext"] = fulltext
+RELATION_FUNCTIONS["fulltext"] = fulltext

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from triplane.catalog import Database, infer
 from triplane.edn import Keyword, Symbol
-from triplane.functions.aggregates import aggregate
+from triplane.functions.aggregates import aggregate, drawn, first_n, is_ranked
 from triplane.functions.builtin import FUNCTIONS, TYPED, col, truth
 from triplane.plans.query import (Aggregate, Expression, Function, Not, Or, Pattern, Predicate, Pull, Query, QueryError, Rule, RuleCall, binding_vars, call_vars, clause_vars, find_vars,
                                   has_aggregate, is_blank, is_source, is_var, parse, parse_rules)
@@ -28,6 +28,10 @@ c_ = lambda name: F.col(f"`{name}`")
 #: Functions that read a database: (env, relation or None, args) to a DataFrame that holds the relation's columns and ``_r``.
 SOURCE_FUNCTIONS: dict[str, Callable[..., DataFrame]] = {}
 
+#: Functions whose results are a relation of their own: (env, relations, args) to a DataFrame with a result a row in ``_r``,
+#: and the outer variables that a result belongs to. It's joined with the other relations on the variables they share.
+RELATION_FUNCTIONS: dict[str, Callable[..., DataFrame]] = {}
+
 
 # What is known of a relation: variables whose values no two of its rows share. Kept beside the DataFrame it is about.
 
@@ -152,7 +156,7 @@ def _match(env: Env, source: str, df: DataFrame, out: dict[str, Column], term: A
     if is_var(term):
         name = str(term)
         if name in env.constants:
-            return _match(env, source, df, out, env.constants[name], value, ref)
+            return df if callable(env.constants[name]) else _match(env, source, df, out, env.constants[name], value, ref)
         if name in out:
             return df.where(out[name] == value)
         out[name] = value
@@ -364,18 +368,43 @@ def _over(env: Env, names: Iterable[str], rels: Relations) -> DataFrame:
     return df
 
 
+def constant(env: Env, x: Any) -> Any:
+    """An argument that must be known when the query is planned."""
+    if is_var(x):
+        if str(x) not in env.constants:
+            raise QueryError(f"{x} must be an input")
+        return env.constants[str(x)]
+    return x
+
+
+def _relation(env: Env, x: Function, rels: Relations) -> None:
+    rows = RELATION_FUNCTIONS[str(x.call[0])](env, rels, x.call[1:])
+    spread = isinstance(x.binding, list) and (len(x.binding) == 1 and isinstance(x.binding[0], list) or len(x.binding) == 2 and x.binding[1] == "...")
+    made = bind(env, rows, F.col("_r"), x.binding[0] if spread else x.binding).drop("_r")
+    rels.add(made if made.columns else made.select(F.lit(True).alias(f"_here{id(made)}")).limit(1))
+
+
 def _predicate(env: Env, x: Predicate, rels: Relations) -> None:
     name = str(x.call[0])
+    if name in RELATION_FUNCTIONS:
+        _relation(env, Function(x.call, Symbol("_")), rels)
+        return
     if name in SOURCE_FUNCTIONS:
         df = _over(env, call_vars(x.call), rels)
         rels.replace(df, keyed(SOURCE_FUNCTIONS[name](env, df, x.call[1:]).where(F.col("_r")).drop("_r"), key_of(df) if name == "missing?" else None))
         return
     df = _over(env, call_vars(x.call), rels)
-    rels.replace(df, keyed(df.where(boolean(df, call(env, df, x.call))), key_of(df)))
+    test = call(env, df, x.call)
+    if not isinstance(test, Column) or df.select(test.alias("x")).dtypes[0][1] != "boolean":
+        test = boolean(df, test)  # a filter drops nulls by itself, and in plain form it's pushed to the scan
+    rels.replace(df, keyed(df.where(test), key_of(df)))
 
 
 def _function(env: Env, x: Function, rels: Relations) -> None:
     name = str(x.call[0])
+    if name in RELATION_FUNCTIONS:
+        _relation(env, x, rels)
+        return
     df = _over(env, [*call_vars(x.call), *binding_vars(x.binding)], rels)
     if name in SOURCE_FUNCTIONS:
         made = SOURCE_FUNCTIONS[name](env, df, x.call[1:])
@@ -741,8 +770,16 @@ def aggregated(env: Env, q: Query, df: DataFrame, names: list[str]) -> DataFrame
 
     for x in q.find:
         collect(x)
-    made = [aggregate(env, df, a).alias(n) for a, n in found.items()]
+    df, ranked = drawn(env, df, found), {a: n for a, n in found.items() if is_ranked(a)}
+    made = [aggregate(env, df, a, n).alias(n) for a, n in found.items() if a not in ranked]
     grouped = df.groupBy(*map(c_, keys)).agg(*made, F.count("*").alias("_rows")).where("_rows > 0")
+    for a, n in ranked.items():  # a join on the groups in place of collecting them whole
+        part = first_n(env, df, a, keys, n)
+        part = part.select(*(c_(k).alias(f"{k}'") for k in keys), n)
+        on = F.lit(True)
+        for k in keys:
+            on = on & grouped[f"`{k}`"].eqNullSafe(part[f"`{k}'`"])
+        grouped = (grouped.join(part, on, "left") if keys else grouped.crossJoin(part)).drop(*(f"{k}'" for k in keys))
 
     def shown(x: Any) -> Column:
         if isinstance(x, Aggregate):

@@ -65,6 +65,8 @@ datalog("find_keys", "nation", "[:find ?e ?n :keys id name :where [?e :nation/na
 datalog("or_clause", "orders", '[:find ?o :where (or [?o :orders/orderstatus "P"] [?o :orders/orderpriority "1-URGENT"])]', "SELECT o_orderkey AS o FROM orders WHERE o_orderstatus = 'P' UNION SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 datalog("or_join_clause", "orders customer", '[:find ?c :where (or-join [?c] (and [?o :orders/custkey ?c] [?o :orders/totalprice ?p] [(> ?p 450000.0)]) [?c :customer/mktsegment "FURNITURE"])]', "SELECT o_custkey AS c FROM orders WHERE o_totalprice > 450000.0 UNION SELECT c_custkey FROM customer WHERE c_mktsegment = 'FURNITURE'")
 datalog("not_clause", "orders customer", "[:find ?c :where [?c :customer/name] (not [_ :orders/custkey ?c])]", "SELECT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+datalog("not_some_left", "orders customer", "[:find ?c :where [?c :customer/mktsegment \"BUILDING\"] (not [?o :orders/custkey ?c] [?o :orders/orderstatus \"P\"] [?o :orders/orderpriority \"1-URGENT\"])]", "SELECT c_custkey AS c FROM customer WHERE c_mktsegment = 'BUILDING' AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')")
+datalog("not_nested", "orders customer nation", "[:find ?c :where [?c :customer/nationkey ?k] (not [?k :nation/regionkey ?r] [(< ?r 2)] (not [?c :customer/mktsegment \"BUILDING\"]))]", "SELECT c_custkey AS c FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE NOT (n_regionkey < 2 AND c_mktsegment <> 'BUILDING')")
 datalog("not_join_clause", "orders customer", "[:find ?c :where [?c :customer/acctbal ?b] [(> ?b 0.0)] (not-join [?c] [?o :orders/custkey ?c] [?o :orders/totalprice ?p] [(> ?p 200000.0)])]", "SELECT c_custkey AS c FROM customer WHERE c_acctbal > 0.0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000.0)")
 datalog("set_semantics", "orders", "[:find ?s ?p :where [?o :orders/orderstatus ?s] [?o :orders/orderpriority ?p]]", "SELECT DISTINCT o_orderstatus AS s, o_orderpriority AS p FROM orders")
 # --- aggregates ---
@@ -77,6 +79,8 @@ datalog("aggregate_distinct", "orders", "[:find ?s (distinct ?p) :where [?o :ord
 datalog("aggregate_expression", "orders", "[:find ?s (/ (sum ?p) (count ?o)) :where [?o :orders/orderstatus ?s] [?o :orders/totalprice ?p]]", "SELECT o_orderstatus AS s, round(sum(p) / count(o), 4) AS expr FROM (SELECT DISTINCT o_orderstatus, o_totalprice AS p, o_orderkey AS o FROM orders) GROUP BY 1", digits={"expr": 4})
 datalog("aggregate_having", "orders", "[:find ?c (count ?o) :where [?o :orders/custkey ?c] :having [(> (count ?o) 15)]]", "SELECT o_custkey AS c, count(*) AS count_o FROM orders GROUP BY 1 HAVING count(*) > 15")
 datalog("aggregate_empty", "orders", '[:find (count ?o) :where [?o :orders/orderstatus "none"]]', "SELECT count(*) AS count_o FROM orders WHERE o_orderstatus = 'none' HAVING count(*) > 0")
+datalog("aggregate_n_input", "orders", "[:find ?s (max ?n ?p) :in $ ?n :where [?o :orders/orderstatus ?s] [?o :orders/totalprice ?p]]", "SELECT o_orderstatus AS s, list_sort(list_slice(list_reverse_sort(list(DISTINCT o_totalprice)), 1, 4)) AS max_n_p FROM orders GROUP BY 1", 4)
+datalog("nested_query_correlated", "customer", "[:find ?c ?b :where [?c :customer/mktsegment ?s] [(q [:find (max ?x) :in $ ?s :where [?d :customer/mktsegment ?s] [?d :customer/acctbal ?x]] $ ?s) [[?b]]] [?c :customer/acctbal ?b]]", "SELECT c_custkey AS c, c_acctbal AS b FROM customer JOIN (SELECT c_mktsegment AS s, max(c_acctbal) AS m FROM customer GROUP BY 1) ON c_mktsegment = s WHERE c_acctbal = m")
 datalog("nested_query", "customer", "[:find ?c ?b :where [(q [:find (max ?x) :where [_ :customer/acctbal ?x]] $) [[?b]]] [?c :customer/acctbal ?b]]", "SELECT c_custkey AS c, c_acctbal AS b FROM customer WHERE c_acctbal = (SELECT max(c_acctbal) FROM customer)")
 # --- order and paging ---
 datalog("order_limit", "customer", "[:find ?c ?b :where [?c :customer/acctbal ?b] :order-by [?b :desc ?c :asc] :limit 20]", "SELECT c_custkey AS c, c_acctbal AS b FROM customer ORDER BY b DESC, c LIMIT 20")
@@ -86,6 +90,9 @@ datalog("flagship", "orders customer nation", "[:find ?n (sum ?p) :with ?o :wher
 datalog("fn_compare_chain", "customer", "[:find ?c :where [?c :customer/acctbal ?b] [(< 100.0 ?b 900.0)] [(!= ?c 3)]]", "SELECT c_custkey AS c FROM customer WHERE c_acctbal > 100.0 AND c_acctbal < 900.0 AND c_custkey <> 3")
 datalog("fn_arithmetic", "customer", "[:find ?c ?x ?y ?z :where [?c :customer/nationkey ?k] [(+ ?k 7 1) ?x] [(* ?x 2) ?y] [(- ?y ?c) ?z]]", "SELECT c_custkey AS c, CAST(c_nationkey AS BIGINT) + 8 AS x, (CAST(c_nationkey AS BIGINT) + 8) * 2 AS y, (CAST(c_nationkey AS BIGINT) + 8) * 2 - c_custkey AS z FROM customer")
 datalog("fn_division", "part", "[:find ?p ?q ?r ?m :where [?p :part/size ?s] [(quot ?s 7) ?q] [(rem ?s 7) ?r] [(mod ?s -7) ?m]]", "SELECT p_partkey AS p, CAST(p_size // 7 AS BIGINT) AS q, CAST(p_size % 7 AS BIGINT) AS r, CAST(((p_size % -7) + -7) % -7 AS BIGINT) AS m FROM part")
+datalog("fn_big_numbers", "nation", "[:find ?k ?q ?r ?m :where [?k :nation/nationkey ?n] [(+ ?n 9007199254740993) ?b] [(quot ?b 1) ?q] [(rem ?b 10) ?r] [(mod ?b -10) ?m] [(== ?b ?q)] [(not= ?b 9007199254740994)]]", "SELECT n_nationkey::BIGINT AS k, n_nationkey::BIGINT + 9007199254740993 AS q, (n_nationkey::BIGINT + 9007199254740993) % 10 AS r, CASE (n_nationkey::BIGINT + 9007199254740993) % 10 WHEN 0 THEN 0 ELSE (n_nationkey::BIGINT + 9007199254740993) % 10 - 10 END AS m FROM nation WHERE n_nationkey <> 1")
+datalog("fn_equal_kinds", "customer", "[:find ?c :where [?c :customer/nationkey ?k] [?c :customer/acctbal ?b] [(= ?k 3)] [(not= ?b 3)] [(== ?k 3.0)]]", "SELECT c_custkey AS c FROM customer WHERE c_nationkey = 3")
+datalog("fn_false_and_nil", "customer", "[:find ?c :where [?c :customer/acctbal ?b] [(> ?b 0.0) ?t] [(false? ?t)] [(not (nil? ?b))]]", "SELECT c_custkey AS c FROM customer WHERE c_acctbal <= 0")
 datalog("fn_parity", "customer", "[:find ?c ?d :where [?c :customer/custkey ?k] [(even? ?k)] [(inc ?k) ?d] [(pos? ?k)]]", "SELECT c_custkey AS c, c_custkey + 1 AS d FROM customer WHERE c_custkey % 2 = 0 AND c_custkey > 0")
 datalog("fn_min_max", "part", "[:find ?p ?a ?b :where [?p :part/size ?s] [(max ?s 25) ?a] [(min ?s 10) ?b]]", "SELECT p_partkey AS p, CAST(greatest(p_size, 25) AS BIGINT) AS a, CAST(least(p_size, 10) AS BIGINT) AS b FROM part")
 datalog("fn_strings", "part", '[:find ?p ?x ?y ?n :where [?p :part/name ?s] [(str ?s "-" ?p) ?x] [(subs ?s 1 4) ?y] [(count ?s) ?n]]', "SELECT p_partkey AS p, p_name || '-' || p_partkey AS x, substr(p_name, 2, 3) AS y, length(p_name) AS n FROM part")
@@ -121,6 +128,7 @@ datalog("rule_inlined", "customer nation", "[:find ?c :in $ % :where (in-region
 datalog("rule_branches", "customer supplier", "[:find ?e :in $ % :where (rich ?e)]", "SELECT c_custkey AS e FROM customer WHERE c_acctbal > 9000.0 UNION SELECT s_suppkey FROM supplier WHERE s_acctbal > 9000.0", "[[(rich ?e) [?e :customer/acctbal ?b] [(> ?b 9000.0)]] [(rich ?e) [?e :supplier/acctbal ?b] [(> ?b 9000.0)]]]")
 datalog("rule_recursive", "nation", "[:find ?x ?y :in $ % :where (chain ?x ?y) [(< ?x 6)]]", "WITH RECURSIVE s AS (SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(n_nationkey + 3 AS BIGINT) AS b FROM nation), t(x, y) AS (SELECT a, b FROM s UNION SELECT t.x, s.b FROM t JOIN s ON t.y = s.a) SELECT x, y FROM t WHERE x < 6", "[[(step ?x ?y) [?x :nation/name] [(+ ?x 3) ?y]] [(chain ?x ?y) (step ?x ?y)] [(chain ?x ?y) (chain ?x ?t) (step ?t ?y)]]")
 datalog("rule_mutual", "nation", "[:find ?x :in $ % :where (even-step ?x)]", "SELECT CAST(n_nationkey AS BIGINT) AS x FROM nation WHERE n_nationkey % 4 = 0", "[[(even-step ?x) [?x :nation/nationkey ?k] [(= ?k 0)]] [(even-step ?x) (odd-step ?y) [(+ ?y 2) ?x] [?x :nation/name]] [(odd-step ?x) (even-step ?y) [(+ ?y 2) ?x] [?x :nation/name]]]")
+datalog("rule_negated_some_left", "customer orders", "[:find ?c :in $ % :where [?c :customer/mktsegment \"BUILDING\"] (not (urgent ?c))]", "SELECT c_custkey AS c FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 300000.0)", '[[(urgent ?c) [?o :orders/custkey ?c] [?o :orders/orderpriority "1-URGENT"] [?o :orders/totalprice ?p] [(> ?p 300000.0)]]]')
 datalog("rule_negated", "customer orders", "[:find ?c :in $ % :where [?c :customer/name] (not (ordered ?c))]", "SELECT c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", "[[(ordered ?c) [_ :orders/custkey ?c]]]")
 
 
@@ -170,7 +178,9 @@ native("kv_filter", "SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c
 native("kv_keep", "SELECT c_custkey * 2 AS x FROM customer WHERE c_acctbal > 9000")(lambda s, d: _kv(s, d).range_keep(lambda k, v: F.when(v > 9000, k * 2)))
 native("kv_transact", "SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey NOT IN (1, 2) UNION ALL SELECT 2, 7.5")(lambda s, d: _kv(s, d).transact([(":put", 2, 1.5), (":del", 1), (":put", 2, 7.5)]).df)
 native("kv_list_range", "SELECT DISTINCT o_custkey AS k, o_orderkey AS v FROM orders WHERE o_custkey BETWEEN 5 AND 25 AND o_orderkey > 100")(lambda s, d: _lists(s, d).list_range([":closed", 5, 25], [":greater-than", 100]))
-native("kv_list_count", "SELECT o_custkey AS k, count(DISTINCT o_orderkey) AS n FROM orders GROUP BY 1")(lambda s, d: _lists(s, d).df.groupBy("k").agg(F.count("*").alias("n")))
+native("kv_list_counts", "SELECT o_custkey AS k, count(DISTINCT o_orderkey) AS n FROM orders GROUP BY 1")(lambda s, d: _lists(s, d).df.groupBy("k").agg(F.count("*").alias("n")))
+native("kv_list_count", "SELECT count(DISTINCT o_orderkey) AS n FROM orders WHERE o_custkey = 7")(lambda s, d: _one(s, "n long", n=_lists(s, d).list_count(7)))
+native("index_search", "SELECT CAST(n_nationkey AS BIGINT) AS e, ':nation/regionkey' AS a, CAST(n_regionkey AS BIGINT) AS v FROM nation WHERE n_regionkey = 2")(lambda s, d: index.search_datoms(open_star(s, d, "nation"), a=":nation/regionkey", v=2))
 
 
 # --- pull ---
@@ -205,7 +215,7 @@ def _term_sql(words: list[str], top: int) -> str:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> search.Index:
-    return search.build(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("doc"), "text"))
+    return search.kept(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("doc"), "text"), "documents.text")
 
 
 native("search_terms", _term_sql(["license", "idiot", "version"], 10))(lambda s, d: search.search(_documents(s, d), "license idiot version", 10).withColumn("score", F.round("score", 6)))
@@ -228,6 +238,32 @@ def _idoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q("[:find ?e :where [(idoc-match $ :events/props {:k 69}) [[?e _ _]]]]", open_star(spark, sf_dir, "events"))
 
 
+@native("idoc_match_pattern", "SELECT event_id AS e, event_type AS t FROM events WHERE json_extract(props, '$.k')::BIGINT = 69 AND event_type <> 'view'")
+def _idoc_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q('[:find ?e ?t :where [?e :events/event_type ?t] [(not= ?t "view")] [(idoc-match $ :events/props {:k 69}) [[?e _ _]]]]', open_star(spark, sf_dir, "events"))
+
+
+@native("fulltext_pattern", "SELECT doc_id AS d, lang AS l FROM documents WHERE regexp_matches(text, '(?i)\\blicense\\b') AND lang = 'en'")
+def _fulltext_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = open_star(spark, sf_dir, "documents")
+    db.indexes[":documents/text"] = _documents(spark, sf_dir)
+    return q('[:find ?d ?l :where [?d :documents/lang ?l] [(= ?l "en")] [(fulltext $ :documents/text "license" {:top nil}) [[?d _ _]]]]', db)
+
+
+@native("vector_pattern", f"WITH d AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 3) AS t FROM embeddings) SELECT vec_id AS e, CAST(label AS BIGINT) AS l FROM (SELECT * FROM d ORDER BY {_NEAR['euclidean']}, vec_id LIMIT 40)")
+def _vector_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = open_star(spark, sf_dir, "embeddings")
+    query = [float(x) for x in db.tables["embeddings"].where("e = 3").first().embedding]
+    return q("[:find ?e ?l :in $ ?v :where [?e :embeddings/label ?l] [(vec-neighbors $ :embeddings/embedding ?v {:top 40}) [[?e _ _]]]]", db, query)
+
+
+@native("vector_all_queries", f"""WITH d AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT a.vec_id AS query, b.vec_id AS id, {_NEAR['cosine'].replace('list_zip(e, t)', 'list_zip(b.e, a.e)').replace('list_transform(e,', 'list_transform(b.e,').replace('list_transform(t,', 'list_transform(a.e,')} AS dist FROM d a, d b WHERE a.vec_id % 20 = 0)
+    SELECT query, id, round(dist, 4) + 0.0 AS dist FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, id) AS n FROM p) WHERE n <= 10""")
+def _vector_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return vectors.nearest(rows, "embedding", rows.where("vec_id % 20 = 0"), "vec_id", 10, "cosine").select("query", "id", (F.round("dist", 4) + 0.0).alias("dist"))
+
+
 @native("idoc_range", "SELECT event_id AS e FROM events WHERE json_extract(props, '$.k')::BIGINT > 90")
 def _idoc_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
