@@ -46,3 +46,42 @@ def test_pipeline_keeps_the_tokens(spark):
     got = corpus_pipeline.pack_sequences(spark, rows, "").collect()
     assert {r.doc_id for r in got} == {1, 2}
     assert all(len(r.ids) == 4 * r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in got)
+
+
+def test_stages_on_awkward_tables(spark, docs, none, clashing, corpus, tmp_path):
+    """Empty tables stay empty, columns keep their names and values whatever they are, null and empty texts have their place."""
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, corpus[3][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    d = str(tmp_path)
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        empty = stage(spark, none, d)
+        assert empty.count() == 0, name
+        got = stage(spark, clashing, d)
+        if number == 4:
+            assert got.select("doc_id").distinct().count() == clashing.select("doc_id").distinct().count()
+            continue
+        assert empty.columns == none.columns and got.columns == clashing.columns, name
+        rows = got.collect()
+        assert rows and all(r[c] == "x" for r in rows for c in clashing.columns if c not in docs.columns), name
+        kept = [(r.doc_id, r.text) for r in rows]
+        if name == "benchmark":
+            assert sorted(map(repr, kept)) == sorted(repr((i, t)) for i, t, *_ in corpus if i != 3)
+        if name == "secrets":
+            assert len(kept) == len(corpus) and (102, None) in kept and all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
+        if name == "near_duplicates":
+            assert (102, None) in kept and sum(t == "" for _, t in kept) == 1 and sum(t == corpus[0][1] for _, t in kept) == 1
+        if name == "language":
+            assert all(t for _, t in kept)
+
+
+def test_rows_of_one_id(spark):
+    """Two texts of one id are two documents; nothing is lost for a shared id."""
+    from tests.llm.conftest import prose
+
+    import random
+
+    rng = random.Random(4)
+    a, b = prose(rng, 80), prose(rng, 80)
+    rows = spark.createDataFrame([(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, a, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, rows, "").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, a), (1, b)])

@@ -61,7 +61,7 @@ def test_packing(docs, none, clashing, corpus):
         if len(doc) == r.doc_tokens:
             whole.append(tuple(doc))
             doc = []
-    assert bag(whole) == want and len({r.sequence_id for r in rows}) == len(rows)
+    assert bag(whole) == want and len({r.sequence_id for r in rows}) == len(rows) and all(r.length == 2**r.bucket for r in rows)
     assert packing.pack(none).count() == 0 and packing.pack(clashing).count() == len(rows)
     with pytest.raises(ValueError):
         packing.pack(docs, 1000)
@@ -635,13 +635,17 @@ def test_samples_estimate_similarity():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    common, a, b = (np.sort(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (600, 200, 200))
-    x, y = np.sort(np.concatenate([common, a])), np.sort(np.concatenate([common, b]))
-    level = lambda h: (h % np.uint64(9)).astype(np.uint8) + np.uint8(4)
     s = neardup.Sampler()
     powers = 2.0 ** (np.arange(neardup.LEVELS) / neardup.GRID)
-    equal = np.mean(s.draw(x, level(x)) == s.draw(y, level(y)))
-    assert abs(equal - neardup.similarity((x, level(x)), (y, level(y)), powers)) < 0.2
+    level = lambda h: (h % np.uint64(9)).astype(np.uint8) + np.uint8(4)
+    for shared, alone in ((600, 200), (900, 100), (300, 300)):
+        equal, wanted = [], []
+        for _ in range(60):  # 60 pairs of 64 samples: a deviation of at most 0.008
+            common, a, b = (np.sort(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (shared, alone, alone))
+            x, y = np.sort(np.concatenate([common, a])), np.sort(np.concatenate([common, b]))
+            equal.append(np.mean(s.draw(x, level(x)) == s.draw(y, level(y))))
+            wanted.append(neardup.similarity((x, level(x)), (y, level(y)), powers))
+        assert abs(np.mean(equal) - np.mean(wanted)) < 0.03
 
 
 def test_components(spark):
@@ -725,3 +729,52 @@ def test_toxicity(spark, docs, none, clashing, corpus):
     scored = toxicity.score(clashing, lexicon).collect()
     assert len(scored) == len(corpus) and all(0 <= r.score <= 1 for r in scored) and toxicity.score(none, lexicon).count() == 0
     assert toxicity.fit(df, marks.limit(0)).words == []
+
+
+def test_word_graph_and_walk():
+    """Mutual information and visiting rates against counts and a matrix."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(11)
+    size = 12
+    docs = [np.array([rng.randrange(size) for _ in range(rng.randint(0, 30))], np.int32) for _ in range(40)]
+    times = np.zeros((size, size))
+    for d in docs:
+        for i in range(len(d)):
+            for j in range(i + 1, min(len(d), i + toxicity.NEAR + 1)):
+                if d[i] != d[j]:
+                    times[d[i], d[j]] += 1
+                    times[d[j], d[i]] += 1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        info = np.log(times * times.sum() / (times.sum(0)[None] * times.sum(1)[:, None]))
+    want = np.where(info > 0, info, 0)
+    a, b, weight = toxicity.ppmi(docs, size)
+    got = np.zeros((size, size))
+    got[a, b] = got[b, a] = weight
+    assert np.allclose(got, want) and (a < b).all()
+    start = np.zeros(size)
+    start[[1, 4]] = 0.5
+    step = np.divide(want, want.sum(0), out=np.zeros_like(want), where=want.sum(0) > 0)
+    rate = start.copy()
+    for _ in range(toxicity.STEPS):
+        rate = (1 - toxicity.RESTART) * step @ rate
+        rate += start * (1 - rate.sum())
+    assert np.allclose(toxicity.walk(a, b, weight, start, size), rate) and rate.sum() == pytest.approx(1)
+
+
+def test_seeds_of_the_walk():
+    """Words of toxic texts alone get a positive polarity, words of others none."""
+    import random
+
+    rng = random.Random(3)
+    texts, labels = [], []
+    for i in range(300):
+        words = [f"w{chr(97 + rng.randrange(20))}" for _ in range(20)]
+        toxic = i % 5 == 0
+        texts.append(" ".join(words + (["nasty", "mean"] if toxic else ["kind"])))
+        labels.append(int(toxic))
+    found = toxicity.polarities(texts, labels)
+    assert found["nasty"] > 1 and found["mean"] > 1 and found["kind"] < found["nasty"] and all(v < 1 for k, v in found.items() if k.startswith("w"))
+    assert toxicity.polarities(texts, [0] * 300) == {} and toxicity.induce([], []).words == []

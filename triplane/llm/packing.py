@@ -132,7 +132,9 @@ def _runs(texts: pa.Array, budget: int) -> Iterator[tuple[int, int]]:
 
 
 def pack(docs: DataFrame, longest: int = 2048, vocabulary: str | None = None, end: int = END) -> DataFrame:
-    """Rows ``doc_id, start, length, doc_tokens, ids, sequence_id, offset``: one per piece.
+    """Rows ``doc_id, start, length, doc_tokens, ids, sequence_id, offset, bucket``: one per piece.
+
+    bucket: the logarithm of the length to base 2; pieces of a bucket are all of one length and make batches without padding.
 
     ids: the piece's token ids as little-endian 32-bit integers. A null or empty text has the end id alone. Texts are
     tokenized whole; repeated rows and repeated or null ids are packed as separate documents, in sequences of their own.
@@ -168,7 +170,7 @@ def pack(docs: DataFrame, longest: int = 2048, vocabulary: str | None = None, en
     small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     packed = slim.mapInArrow(pieces, "doc_id long, start long, length long, doc_tokens long, ids binary")
-    return packed.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    return packed.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": F.log2("length").cast("int")})
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
