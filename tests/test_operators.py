@@ -59,6 +59,16 @@ def test_pull_in_find(family):
     assert got[0][1].asDict(True) == {":name": "Otto", ":child": [{":name": "Nell"}, {":name": "Karl"}]}
 
 
+@pytest.mark.parametrize("pattern", ["[:db/id :name {:friend ...}]", "[:db/id :name {:friend 1}]", "[:db/id :name {:_father ...}]", "[:db/id :name {:child 2}]"])
+def test_recursive_pull_in_find(family, pattern):
+    import json
+
+    got = answer(f"[:find ?e (pull ?e {pattern}) :where [?e :name]]", family)
+    assert len(got) == 6
+    for e, text in got:
+        assert json.loads(text) == pull.pull(family, pattern, e), e
+
+
 def test_index(family):
     assert [tuple(r) for r in index.datoms(family, ":ave", ":name").collect()][0] == (5, ":name", "Brida")
     assert [r.e for r in index.seek_datoms(family, ":ave", ":name", "Otto").collect()] == [1, 10]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from triplane.catalog import Attribute, Database
 from triplane.edn import Symbol, read
 from triplane.functions.builtin import FUNCTIONS
+from triplane.storage import durable
 
 LIMIT = 1000
 
@@ -206,10 +207,54 @@ def pull_column(env: Any, df: DataFrame, x: Any) -> DataFrame:
     form = x.pattern
     if isinstance(form, Symbol) and str(form) in env.constants:
         form = env.constants[str(form)]
-    made = _tree(env.source(x.source), parse(form), pull_name(x))
+    pattern = parse(form)
+    deep = any(s.recursion is not None for s in pattern.specs)
+    made = _deep_tree(env.source(x.source), pattern, df.select(c_(x.var).alias("_id")).distinct(), pull_name(x)) if deep else _tree(env.source(x.source), pattern, pull_name(x))
     return df.join(made, c_(x.var) == F.col("_id"), "left").drop("_id")
 
 
+def _deep_tree(db: Database, pattern: Pattern, roots: DataFrame, name: str) -> DataFrame:
+    """Rows ``_id`` and the tree as JSON text, of a pattern that recurses through one attribute; one per root with any fact of it.
+
+    Paths grow level by level, all roots together, one join and one job a level, until the wanted depth or until nothing is
+    new; an entity already on its path ends it. The texts are then put together from the deepest level up.
+    """
+    deep = [s for s in pattern.specs if s.recursion is not None]
+    if len(deep) > 1:
+        raise ValueError("a pattern in :find recurses through one attribute")
+    (s,) = deep
+    rest = [x for x in pattern.specs if x is not s]
+    own = _tree(db, Pattern(rest, pattern.wildcard, True), "_own").select(F.col("_id").alias("_node"), "_own") if rest or pattern.wildcard else None
+    facts = db.scan(s.name)
+    facts = facts.select(F.col("v" if s.reverse else "e").alias("_from"), F.col("e" if s.reverse else "v").alias("_to"))
+    levels = [durable(roots.select(F.array("_id").alias("_path"), F.col("_id").alias("_node"), F.lit(False).alias("_met")))]
+    while not s.recursion or len(levels) <= s.recursion:
+        last = levels[-1].where("not _met")
+        met = F.array_contains("_path", F.col("_to"))
+        found = durable(last.join(facts, F.col("_node") == F.col("_from")).select(F.array_append("_path", F.col("_to")).alias("_path"), F.col("_to").alias("_node"), met.alias("_met")))
+        if found.isEmpty():
+            break
+        levels.append(found)
+    one = not db.attribute(s.name).many and not s.reverse
+    key, below = F.to_json(F.struct(F.lit(s.key).alias("k"))), None
+    key = F.regexp_extract(key, r'^\{"k":(.*)\}$', 1)
+    for rows in reversed(levels):
+        named = rows.join(own, "_node", "left") if own is not None else rows.withColumn("_own", F.struct(F.col("_node").alias(":db/id")))
+        bare = F.to_json(F.struct(F.col("_node").alias(":db/id")))
+        text = F.when(F.col("_met") | F.col("_own").isNull(), bare).otherwise(F.to_json("_own"))
+        if below is not None:
+            listed = F.col("_below") if not one else F.get("_below", F.lit(0))
+            inside = listed if one else F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]"))
+            joined = F.concat(F.substring(text, F.lit(1), F.length(text) - 1), F.lit(","), key, F.lit(":"), inside, F.lit("}"))
+            named = named.join(below, "_path", "left")
+            text = F.when(F.col("_below").isNull(), text).otherwise(joined)
+        done = named.select("_path", "_node", text.alias("_text"))
+        parent = F.slice("_path", 1, F.size("_path") - 1)
+        limit = (lambda a: a) if s.limit is None else (lambda a: F.slice(a, 1, s.limit))
+        below = done.groupBy(parent.alias("_path")).agg(F.transform(limit(F.sort_array(F.collect_list(F.struct("_node", "_text")))), lambda x: x["_text"]).alias("_below")) if rows is not levels[0] else done
+    return below.where((F.col("_text") != F.to_json(F.struct(F.col("_node").alias(":db/id")))) | F.lit(pattern.id)).select(F.col("_node").alias("_id"), F.col("_text").alias(name))
+
+
 def _tree(db: Database, pattern: Pattern, name: str) -> DataFrame:
     """Rows ``_id`` and a struct: one per entity that has any of the attributes."""
     specs = list(pattern.specs)
@@ -220,7 +265,7 @@ def _tree(db: Database, pattern: Pattern, name: str) -> DataFrame:
     for s in specs:
         a = db.attribute(s.name)
         if s.recursion is not None:
-            raise ValueError("recursion is for pull() and pull_many(); in :find name the levels")
+            raise ValueError("recursion must stand at the top of a pattern in :find")
         if not a.many and not s.reverse and not s.nested and not a.component:
             tables.setdefault(a.table, []).append(s)
             continue

@@ -304,3 +304,6 @@ def _transact_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @native("transact_report", "SELECT CAST(1 AS BIGINT) AS tx, CAST(3 AS BIGINT) AS e, ':nation/name' AS a, n_name AS v, false AS added FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 1, 3, ':nation/name', 'X', true")
 def _transact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx_log(spark, [with_(open_star(spark, sf_dir, "nation"), [[":db/add", 3, ":nation/name", "X"]])])
+
+
+import triplane.queries_more  # noqa: E402, F401  registers its queries
