@@ -616,3 +616,35 @@ def test_pull_visitor(family):
     seen = []
     pull.pull(family, "[:name {:_child [:name]} *]", 2, lambda *x: seen.append(x))
     assert (":db.pull/attr", 2, ":name", None) in seen and (":db.pull/reverse", None, ":child", 2) in seen and (":db.pull/wildcard", 2, None, None) in seen and (":db.pull/attr", 1, ":name", None) in seen
+
+
+def test_english_stems():
+    from triplane.operators.stemming import english
+
+    known = {
+        "consign": "consign", "consigned": "consign", "consistency": "consist", "consolation": "consol", "consolingly": "consol", "conspicuously": "conspicu", "constancy": "constanc", "knack": "knack", "knackeries": "knackeri", "knightly": "knight", "knitting": "knit",
+        "generously": "generous", "communication": "communic", "running": "run", "ponies": "poni", "hopping": "hop", "hoping": "hope", "caresses": "caress", "gas": "gas", "gaps": "gap", "kiwis": "kiwi", "cries": "cri", "ties": "tie", "agreed": "agre", "happily": "happili",
+        "nationalization": "nation", "sensational": "sensat", "relativity": "relat", "happy": "happi", "by": "by", "say": "say", "sky": "sky", "dying": "die", "news": "news", "succeeded": "succeed", "controlling": "control", "adjustable": "adjust", "bowling": "bowl", "hopefulness": "hope",
+    }
+    assert {w: english(w) for w in known} == known
+
+
+def test_service(spark, tmp_path):
+    import json
+
+    from triplane.service import Service
+
+    service = Service(spark, limit=2)
+    ask = lambda op, **args: json.loads(json.dumps(service.handle(json.dumps({"op": op, "args": args}))))
+    conn = ask("connect", path=str(tmp_path / "d"), schema='{":n" {":db/valueType" ":db.type/long"}}')["result"]
+    sent = ask("transact", conn=conn, data='[{:db/id -1 :n 5 :s "x"} {:n 6} {:n 7}]')
+    assert sent["ok"] and ask("q", conn=conn, query="[:find ?n . :where [_ :n ?n] [(< ?n 6)]]") == {"ok": True, "result": 5}
+    found = ask("q", conn=conn, query="[:find ?e ?n :in $ ?least :where [?e :n ?n] [(>= ?n ?least)]]", inputs=[1])["result"]
+    assert found["truncated"] and len(found["rows"]) == 2 and found["columns"] == ["e", "n"]
+    first = sent["result"]["tempids"]["-1"]
+    assert ask("pull", conn=conn, pattern="[:s]", id=first)["result"] == {":s": "x"} and ask("entity", conn=conn, id=first)["result"][":n"] == 5 and ask("count-datoms", conn=conn, a=":n")["result"] == 3
+    store = ask("open-kv")["result"]
+    assert ask("open-dbi", kv=store, name="t", key="long")["ok"] and ask("transact-kv", kv=store, name="t", txs=[[":put", 1, "a"], [":put", 2, "b"]])["ok"]
+    assert ask("get-range", kv=store, name="t", range=[":at-least", 2])["result"]["rows"] == [[2, "b"]] and ask("list-dbis", kv=store)["result"] == ["t"]
+    bad = ask("q", conn=conn, query="[:find ?x :where [?e :absent ?x]]")
+    assert not bad["ok"] and "absent" in bad["error"] and not ask("nothing")["ok"] and ask("close", handle=conn)["ok"]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,16 +66,14 @@ def ngrams(least: int, most: int | None = None) -> Filter:
 
 
 def english_stem() -> Filter:
-    """The first step of Porter's algorithm: plurals, -ed and -ing."""
+    """Terms by their stems, by the Snowball algorithm for English; done in Arrow batches when texts are analysed."""
+    from triplane.operators.stemming import english
 
-    def stem(t: Column) -> Column:
-        plural = F.when(t.endswith("sses"), F.expr("1")).otherwise(F.lit(0))
-        t = F.when(plural == 1, F.regexp_replace(t, "sses$", "ss")).when(t.endswith("ies"), F.regexp_replace(t, "ies$", "i")).when(t.endswith("ss"), t).otherwise(F.regexp_replace(t, "s$", ""))
-        cut = F.regexp_replace(t, "^(.*[aeiouy].*?)(?:ed|ing)$", "$1")
-        mended = F.when(cut.rlike("(?:at|bl|iz)$"), F.concat(cut, F.lit("e"))).when(cut.rlike(r"([^aeioulsz])\1$"), F.substring(cut, F.lit(1), F.length(cut) - 1)).otherwise(cut)
-        return F.when(t.rlike("eed$"), F.regexp_replace(t, "^(.*[aeiouy].*)eed$", "$1ee")).when(cut != t, mended).otherwise(t)
+    @F.pandas_udf("array<struct<term:string,position:int>>")
+    def stems(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda xs: None if xs is None else [{"term": english(x["term"]), "position": x["position"]} for x in xs])
 
-    return _on_terms(stem)
+    return stems
 
 
 def create_analyzer(tokenizer: Callable[[Column], Column] | None = None, filters: Iterable[Filter] = ()) -> Callable[[Column], Column]:
