@@ -224,6 +224,17 @@ def test_secrets(spark, docs, none, clashing, corpus):
     assert secrets.scan(none).count() == 0 and secrets.scan(clashing).count() == len(corpus)
 
 
+def test_a_kept_index(spark, tmp_path):
+    """New rules are matched against postings that were written before."""
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(SECRETS)] + [(99, None)], "doc_id long, text string")
+    secrets.index(rows, secrets.mandatory()).write.partitionBy("trigram").parquet(str(tmp_path / "index"))
+    postings = spark.read.option("recursiveFileLookup", False).parquet(str(tmp_path / "index")).withColumn("trigram", F.col("trigram").cast("string"))
+    spans = lambda df: {r.doc_id: [tuple(s) for s in r.spans] for r in df.collect()}
+    assert spans(secrets.scan(rows, postings=postings)) == spans(secrets.scan(rows))
+    some = secrets.BASE[:1] + secrets.MORE[:2]
+    assert spans(secrets.scan(rows, some, postings)) == spans(secrets.scan(rows, some))
+
+
 def test_trigram_queries_are_necessary():
     samples = {"assign": ["API_KEY=aaaaaaaaa", "apikey: bbbbbbbbbb", "Secret='cccccccc'"], "github": ["gho_" + "Z" * 36], "jwt": ["eyJ" + "a" * 12 + ".eyJ" + "b" * 12 + "." + "c" * 12], "slack": ["xoxb-1234567890"], "google": ["AIza" + "x" * 35]}
     for r in secrets.RULES:

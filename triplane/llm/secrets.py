@@ -127,17 +127,24 @@ def candidates(postings: DataFrame, queries: dict[int, list[frozenset[str]]]) ->
     return met.groupBy("key_a", "key_b").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def mandatory(rules: tuple[Rule, ...] = RULES) -> list[str]:
+    """The trigrams that rules ask for: those that an index for them has."""
+    return sorted({g for r in rules for alternative in trigram_query(r.pattern) for g in alternative})
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, postings: DataFrame | None = None) -> DataFrame:
     """``docs`` with ``spans`` added: an array of ``start, rank, end, kind``, by start and then as rules are listed.
 
-    Places are code points, the end exclusive. A null or empty text has no spans; all rows stay, repeated ones too. A column
-    of that name is replaced.
+    Places are code points, the end exclusive. A null or empty text has no spans; texts are scanned whole, however long; all
+    rows stay, repeated ones too, and an empty table stays empty. A column of that name is replaced. ``postings`` is an index
+    that was kept: of these documents, or of more, for the trigrams that :func:`mandatory` gives or for more of them.
     """
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern))}
     docs = docs.drop("spans")
     ka, kb, mask = fresh(docs, "_ka"), fresh(docs, "_kb"), fresh(docs, "_rules")
     if queries:
-        found = durable(candidates(index(docs.select("text"), sorted(set().union(*(g for q in queries.values() for g in q)))), queries))
+        postings = index(docs.select("text"), mandatory(rules)) if postings is None else postings
+        found = durable(candidates(postings, queries))
         found = found.toDF(ka, kb, mask)
         rows = found.count()
         a, b = text_key(F.col("text"))
