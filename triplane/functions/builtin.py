@@ -325,11 +325,26 @@ def range_(*args: Any) -> Column:
     return F.when(some, F.sequence(start, last, step)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _place(s: Column, part: Column, start: Any = 0) -> Column:
+    """Where a text has another, from a place on, counted from 0; null if nowhere."""
+    found = F.call_function("locate", part, s, col(start).cast("int") + 1)
+    return F.when(found > 0, (found - 1).cast("long"))
+
+
+def _last_place(s: Column, part: Column) -> Column:
+    return F.when(s.contains(part), (F.length(s) - F.length(part) - F.call_function("locate", F.reverse(part), F.reverse(s)) + 1).cast("long"))
+
+
 _TEXT = {"lower-case": F.lower, "upper-case": F.upper, "trim": F.trim, "triml": F.ltrim, "trimr": F.rtrim, "reverse": F.reverse, "capitalize": lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substring(s, F.lit(2), F.length(s)))), "blank?": lambda s: F.trim(s) == ""}
 for _name, _f in _TEXT.items():
     FUNCTIONS[f"clojure.string/{_name}"] = lambda s, f=_f: f(col(s))
 FUNCTIONS |= {
     "clojure.string/starts-with?": lambda s, p: col(s).startswith(col(p)), "clojure.string/ends-with?": lambda s, p: col(s).endswith(col(p)), "clojure.string/includes?": lambda s, p: col(s).contains(col(p)),
     "clojure.string/replace": lambda s, a, b: F.replace(col(s), col(a), col(b)), "clojure.string/split": lambda s, p: F.split(col(s), str(p)), "clojure.string/join": lambda sep, a: F.array_join(col(a), str(sep)),
+    "clojure.string/index-of": lambda s, p, start=0: _place(col(s), col(p), start), "clojure.string/last-index-of": lambda s, p: _last_place(col(s), col(p)), "clojure.string/trim-newline": lambda s: F.regexp_replace(col(s), r"[\r\n]+$", ""),
+    "clojure.string/replace-first": lambda s, a, b: F.when(col(s).contains(col(a)), F.concat(F.substring(col(s), F.lit(1), F.call_function("locate", col(a), col(s)) - 1), col(b), F.substring(col(s), F.call_function("locate", col(a), col(s)) + F.length(col(a)), F.length(col(s))))).otherwise(col(s)), "clojure.string/split-lines": lambda s: F.split(col(s), r"\r?\n"),
+    ".indexOf": lambda s, p, start=0: F.coalesce(_place(col(s), col(p), start), F.lit(-1).cast("long")), ".lastIndexOf": lambda s, p: F.coalesce(_last_place(col(s), col(p)), F.lit(-1).cast("long")), ".isEmpty": lambda s: F.length(col(s)) == 0, ".isBlank": lambda s: F.trim(col(s)) == "", ".equals": lambda a, b: col(a) == col(b),
+    ".equalsIgnoreCase": lambda a, b: F.lower(col(a)) == F.lower(col(b)), ".concat": lambda a, b: F.concat(col(a), col(b)), ".replace": lambda s, a, b: F.replace(col(s), col(a), col(b)), ".replaceAll": lambda s, p, b: F.regexp_replace(col(s), str(p), str(b)), ".matches": lambda s, p: col(s).rlike(f"^(?:{p})$"),
+    ".charAt": lambda s, i: F.substring(col(s), col(i).cast("int") + 1, F.lit(1)), ".compareTo": lambda a, b: FUNCTIONS["compare"](a, b), ".repeat": lambda s, n: F.repeat(col(s), col(n).cast("int")), ".strip": lambda s: F.trim(col(s)), ".split": lambda s, p: F.split(col(s), str(p)), ".toString": lambda s: col(s).cast("string"),
     ".startsWith": lambda s, p: col(s).startswith(col(p)), ".endsWith": lambda s, p: col(s).endswith(col(p)), ".contains": lambda s, p: col(s).contains(col(p)), ".toUpperCase": lambda s: F.upper(col(s)), ".toLowerCase": lambda s: F.lower(col(s)), ".length": lambda s: F.length(col(s)).cast("long"), ".trim": lambda s: F.trim(col(s)), ".substring": lambda s, a, b=None: subs(s, a, b),
 }

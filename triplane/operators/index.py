@@ -100,6 +100,11 @@ def schema(db: Database) -> dict[str, dict]:
     return {a.name: dict(a.props) or ({":db/valueType": ":db.type/ref"} if a.ref else {}) for a in db.attributes.values()}
 
 
+def opts(db: Database) -> dict:
+    """What a database is made of: its tables and their keys, and the indexes that are kept with it."""
+    return {":tables": list(db.tables), ":keyed": sorted(db.keyed & set(db.tables)), ":attributes": len(db.attributes), ":search-indexes": sorted(db.indexes), ":session-time-zone": db.spark.conf.get("spark.sql.session.timeZone")}
+
+
 def analyze(db: Database, a: str | None = None) -> DataFrame:
     """Per attribute: facts, distinct values (estimated), least and greatest value as text."""
     out = None

@@ -20,6 +20,7 @@ from triplane.catalog import Database, infer
 from triplane.edn import Keyword, Symbol
 from triplane.functions.aggregates import aggregate, drawn, first_n, is_ranked
 from triplane.functions.builtin import FUNCTIONS, TYPED, col, truth
+from triplane.functions.registry import REGISTRY
 from triplane.plans.query import (Aggregate, Expression, Function, Not, Or, Pattern, Predicate, Pull, Query, QueryError, Rule, RuleCall, binding_vars, call_vars, clause_vars, find_vars,
                                   has_aggregate, is_blank, is_source, is_var, parse, parse_rules)
 
@@ -253,15 +254,19 @@ def call(env: Env, df: DataFrame, form: tuple) -> Any:
     values = [expression(env, df, a) for a in args]
     if callable(name):
         return name(*map(col, values))
-    name = str(name)
+    name = str(name).removeprefix("clojure.core/")
     if name in TYPED:
         kinds = [df.select(col(v).alias("x")).dtypes[0][1] if isinstance(v, Column) or not isinstance(v, Symbol) else "symbol" for v in values]
         return TYPED[name](kinds, *values)
     if name == "udf":
         return env.source("udf")(values[0])(*map(col, values[1:]))
-    if name not in FUNCTIONS:
-        raise QueryError(f"unknown function {name}")
-    return FUNCTIONS[name](*values)
+    if name in FUNCTIONS:
+        return FUNCTIONS[name](*values)
+    try:
+        found = REGISTRY.resolve(name)  # a user's function goes by its own name too
+    except KeyError:
+        raise QueryError(f"unknown function {name}") from None
+    return found(*map(col, values))
 
 
 def boolean(df: DataFrame, x: Any) -> Column:
@@ -676,6 +681,9 @@ def _input(env: Env, s: list, v: Any, rels: Relations) -> None:
         rels.add(v.toDF(*names).distinct())
     elif len(s) == 2 and s[1] == "...":
         if is_var(s[0]):
+            if len(v) and all(map(_is_lookup, v)):
+                rels.add(_looked_up(env, list(v)).select(F.col("_id").alias(str(s[0]))))
+                return
             kind = infer(list(v)) if len(v) else None
             if kind is None:
                 rels.parts.append(env.spark.range(0).select(F.lit(None).cast("string").alias(str(s[0]))))
@@ -693,6 +701,24 @@ def _input(env: Env, s: list, v: Any, rels: Relations) -> None:
                 env.constants[str(a)] = b
 
 
+def _is_lookup(x: Any) -> bool:
+    return isinstance(x, (list, tuple)) and len(x) == 2 and isinstance(x[0], str) and x[0].startswith(":")
+
+
+def _looked_up(env: Env, refs: list) -> DataFrame:
+    """The ids, in column ``_id``, of the entities that lookup refs name: one scan per attribute."""
+    out, by = None, {}
+    for a, v in refs:
+        by.setdefault(str(a), []).append(v)
+    for name, values in by.items():
+        a = env.source("$").attribute(name)
+        if not a.unique:
+            raise QueryError(f"{name} is not unique")
+        rows = env.source("$").scan(name).where(F.col("v").isin(*values)).select(F.col("e").alias("_id"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.distinct()
+
+
 # --- results ---
 
 

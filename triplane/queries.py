@@ -57,6 +57,7 @@ datalog("input_collection", "customer", "[:find ?c ?s :in $ [?s ...] :where [?c
 datalog("input_tuple", "customer", "[:find ?c :in $ [?s ?b] :where [?c :customer/mktsegment ?s] [?c :customer/acctbal ?a] [(> ?a ?b)]]", "SELECT DISTINCT c_custkey AS c FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 5000.0", ["BUILDING", 5000.0])
 datalog("input_relation", "nation", "[:find ?n ?w :in $ [[?k ?w]] :where [?e :nation/nationkey ?k] [?e :nation/name ?n]]", "SELECT DISTINCT n_name AS n, w FROM nation JOIN (VALUES (1, 'one'), (2, 'two')) t(k, w) ON n_nationkey = k", [[1, "one"], [2, "two"]])
 datalog("input_empty_collection", "nation", "[:find ?k :in $ [?k ...] :where [?k :nation/name _]]", "SELECT CAST(n_nationkey AS VARCHAR) AS k FROM nation WHERE false", [])
+datalog("input_lookup_refs", "nation", "[:find ?n :in $ [?k ...] :where [?k :nation/name ?n]]", "SELECT n_name AS n FROM nation WHERE n_nationkey IN (2, 3)", [[":nation/nationkey", 2], [":nation/nationkey", 3], [":nation/nationkey", 999]])
 datalog("find_collection", "customer", "[:find [?s ...] :where [_ :customer/mktsegment ?s]]", "SELECT DISTINCT c_mktsegment AS s FROM customer")
 datalog("find_scalar", "customer", "[:find ?n . :where [11 :customer/name ?n]]", "SELECT c_name AS n FROM customer WHERE c_custkey = 11")
 datalog("find_tuple", "nation", "[:find [?n ?r] :where [4 :nation/name ?n] [4 :nation/regionkey ?r]]", "SELECT n_name AS n, CAST(n_regionkey AS BIGINT) AS r FROM nation WHERE n_nationkey = 4")

@@ -93,6 +93,7 @@ native("kv_hexify", "SELECT upper(hex(encode('key ñ'))) AS x, 'key ñ' AS back"
 native("index_entid", "SELECT CAST(3 AS BIGINT) AS e, CAST(count(*) AS BIGINT) AS attributes FROM (DESCRIBE nation)")(
     lambda s, d: _one(s, "e long, attributes long", e=index.entid(open_star(s, d, "nation"), (":nation/nationkey", 3)), a=len(index.schema(open_star(s, d, "nation"))))
 )
+native("index_opts", "SELECT 'nation' AS tables, CAST(3 AS BIGINT) AS attributes")(lambda s, d: (lambda o: _one(s, "tables string, attributes long", t=",".join(o[":tables"]), a=o[":attributes"]))(index.opts(open_star(s, d, "nation"))))
 native("index_analyze", "SELECT ':nation/name' AS a, count(*) AS facts, min(n_name) AS least, max(n_name) AS greatest FROM nation")(lambda s, d: index.analyze(open_star(s, d, "nation"), ":nation/name").select("a", "facts", "least", "greatest"))
 
 _NATION = {":name": {":db/valueType": ":db.type/string"}, ":region": {":db/valueType": ":db.type/ref"}, ":tag": {":db/valueType": ":db.type/string", ":db/cardinality": ":db.cardinality/many"}}
@@ -146,6 +147,9 @@ datalog("fn_rand_int", "nation", "[:find ?k :where [?k :nation/name] [(rand-int
 datalog("fn_udf", "nation", '[:find ?k ?x :where [?k :nation/regionkey ?r] [(udf "doubled" ?r) ?x]]', "SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_regionkey AS BIGINT) * 2 AS x FROM nation")
 datalog("fn_input_function", "nation", "[:find ?k ?x :in $ ?f ?p :where [?k :nation/regionkey ?r] [(?f ?r) ?x] [(?p ?x)]]", "SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_regionkey AS BIGINT) + 5 AS x FROM nation WHERE n_regionkey > 1", lambda r: r + 5, lambda x: x > 6)
 datalog("fn_found_groups", "nation", '[:find ?n ?x :where [_ :nation/name ?n] [(re-find "([A-Z]+)_([0-9])" ?n) [_ _ ?x]]]', "SELECT n_name AS n, regexp_extract(n_name, '([A-Z]+)_([0-9])', 2) AS x FROM nation")
+datalog("fn_by_name", "nation", "[:find ?k ?x ?y :where [?k :nation/regionkey ?r] [(doubled ?r) ?x] [(clojure.core/inc ?x) ?y]]", "SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_regionkey AS BIGINT) * 2 AS x, CAST(n_regionkey AS BIGINT) * 2 + 1 AS y FROM nation")
+datalog("fn_text_places", "nation", '[:find ?n ?a ?b ?c ?d :where [_ :nation/name ?n] [(clojure.string/index-of ?n "N" 1) ?a] [(clojure.string/last-index-of ?n "N") ?b] [(clojure.string/replace-first ?n "N" "M") ?c] [(.indexOf ?n "zz") ?d]]', "SELECT n_name AS n, CAST(instr(substr(n_name, 2), 'N') AS BIGINT) AS a, CAST(length(n_name) - instr(reverse(n_name), 'N') AS BIGINT) AS b, 'M' || substr(n_name, 2) AS c, CAST(-1 AS BIGINT) AS d FROM nation")
+datalog("fn_more_methods", "nation", '[:find ?n ?x ?y ?z :where [_ :nation/name ?n] [(.matches ?n "NATION_1.*")] [(.charAt ?n 7) ?x] [(.replaceAll ?n "[0-9]+" "#") ?y] [(.concat ?y "!") ?z] [(.equalsIgnoreCase ?y "nation_#")]]', "SELECT n_name AS n, substr(n_name, 8, 1) AS x, regexp_replace(n_name, '[0-9]+', '#', 'g') AS y, regexp_replace(n_name, '[0-9]+', '#', 'g') || '!' AS z FROM nation WHERE n_name LIKE 'NATION_1%'")
 datalog("aggregate_custom", "customer", "[:find ?s (spread ?b) :where [?c :customer/mktsegment ?s] [?c :customer/acctbal ?b]]", "SELECT c_mktsegment AS s, round(max(c_acctbal) - min(c_acctbal), 2) AS spread_b FROM customer GROUP BY 1", digits={"spread_b": 2})
 datalog("aggregate_input_function", "customer", "[:find ?s (aggregate ?f ?b) :in $ ?f :where [?c :customer/mktsegment ?s] [?c :customer/acctbal ?b]]", "SELECT c_mktsegment AS s, max(c_acctbal) AS aggregate_f_b FROM customer GROUP BY 1", F.max)
 native("aggregate_sample", "SELECT c_mktsegment AS s, CAST(3 AS BIGINT) AS n, CAST(5 AS BIGINT) AS m FROM customer GROUP BY 1")(
