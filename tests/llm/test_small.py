@@ -633,6 +633,7 @@ def test_crowded_buckets(spark, monkeypatch):
     want = bag(map(tuple, neardup.classes(df).collect()))
     label = spark.createDataFrame([(i, i, [1, 2, 3, i // 2 + 10]) for i in range(40)], "node long, component long, bands array<long>")
     monkeypatch.setattr(neardup, "CROWD", 4)
+    monkeypatch.setattr(neardup, "HUB", 1)
     found = neardup._remaining(label).distinct().collect()
     by = defaultdict(set)
     for r in found:
