@@ -285,6 +285,8 @@ class _Batch:
         self.held: dict[tuple, list] = {}
         self.owners: dict[tuple, int | None] = {}
         self.dropped: list[int] = []
+        self.taken: dict[tuple, int] = {}
+        self.touched: set[tuple] = set()
 
     # --- what the batch names, read at once ---
     def prepare(self, tx_data: list) -> None:
@@ -347,27 +349,26 @@ class _Batch:
         while going:  # a level of components at a time
             self.load(going, list(self.db.attributes))
             below = {v for a in self.db.attributes.values() if a.component for e in going for v in self.values_of(e, a.name)}
-            going = sorted(v for v in below if (v, next(iter(self.db.attributes))) not in self.loaded)
-
-    @property
-    def loaded(self) -> set:
-        return self.current.keys() | self.held.keys()
+            known = {e for e, _ in self.current} | {e for e, _ in self.held}
+            going = sorted(v for v in below if v not in known)
 
     def find_owners(self, a: str, values: list) -> None:
         """The entities that have some values of a unique attribute."""
         missing = list(dict.fromkeys(v for v in values if (a, _plain(v)) not in self.owners))
         if missing:
             found = {_plain(r.v): r.e for r in _among(self.before.scan(a), "v", missing).collect()}
+            if not self.db.attribute(a).many:
+                for v, e in found.items():
+                    self.current.setdefault((e, a), v)
             self.owners |= {(a, _plain(v)): found.get(_plain(v)) for v in missing}
 
     def owner(self, a: str, v: Any) -> int | None:
         """The entity that has a value of a unique attribute, as the batch has left it."""
         self.find_owners(a, [v])
-        for e, x in self.adds.get(a, []):
-            if x == v:
+        for e in (self.taken.get((a, _plain(v))), self.owners[a, _plain(v)]):
+            if e is not None and (self.db.attribute(a).many or self.value_of(e, a) == v):
                 return e
-        e = self.owners[a, _plain(v)]
-        return None if e is not None and ((e, v) in self.cuts.get(a, []) or any(x == e for x, _ in self.adds.get(a, []))) else e
+        return None
 
     def load(self, ids: list[int], attributes: list[str]) -> None:
         """The values that entities have of some attributes: one query per table."""
@@ -435,8 +436,10 @@ class _Batch:
         a = self.db.attributes.get(name) or _declare(self.db, name, {}, [v])
         if a.ref or (isinstance(v, (tuple, list)) and len(v) == 2 and isinstance(v[0], str) and v[0].startswith(":") and a.ref):
             v = self.resolve(v)
-        if a.unique and name in self.before.attributes and self.owner(name, v) not in (None, e) or a.unique and any(x != e and y == v for x, y in self.adds.get(name, [])):
-            raise ValueError(f"{name} {v!r} is another entity's")
+        if a.unique:
+            if (self.owner(name, v) if name in self.before.attributes else self.taken.get((name, _plain(v)))) not in (None, e):
+                raise ValueError(f"{name} {v!r} is another entity's")
+            self.taken[name, _plain(v)] = e
         if not a.many:
             old = self.value_of(e, name)
             if old == v and type(old) is type(v):
@@ -444,13 +447,20 @@ class _Batch:
             if old is not None:
                 self.facts.append((e, name, old, False))
             self.current[e, name] = v
-            self.adds.setdefault(name, [])
-            self.adds[name] = [p for p in self.adds[name] if p[0] != e]
-            self.cuts[name] = [p for p in self.cuts.get(name, []) if p[0] != e]
-        elif (e, v) in self.adds.get(name, []) or v in self.values_of(e, name) and (e, v) not in self.cuts.get(name, []):
+            if (e, name) in self.touched:
+                self.adds[name] = [p for p in self.adds.get(name, []) if p[0] != e]
+                self.cuts[name] = [p for p in self.cuts.get(name, []) if p[0] != e]
+            self.touched.add((e, name))
+            self.adds.setdefault(name, []).append((e, v))
+            self.facts.append((e, name, v, True))
+            return
+        again = (e, name) in self.touched
+        if again and (e, v) in self.adds.get(name, []) or v in self.values_of(e, name) and not (again and (e, v) in self.cuts.get(name, [])):
             return
+        self.touched.add((e, name))
         self.adds.setdefault(name, []).append((e, v))
-        self.cuts[name] = [p for p in self.cuts.get(name, []) if p != (e, v)]
+        if again:
+            self.cuts[name] = [p for p in self.cuts.get(name, []) if p != (e, v)]
         self.facts.append((e, name, v, True))
 
     def cut(self, e: int, name: str, v: Any = None) -> None:
@@ -458,13 +468,16 @@ class _Batch:
         if v is not None and a.ref:
             v = self.resolve(v)
         if a.many:
-            held = [x for x in self.values_of(e, name) if (e, x) not in self.cuts.get(name, [])] + [y for x, y in self.adds.get(name, []) if x == e]
+            again = (e, name) in self.touched
+            held = [x for x in self.values_of(e, name) if not again or (e, x) not in self.cuts.get(name, [])] + ([y for x, y in self.adds.get(name, []) if x == e] if again else [])
         else:
             held = [x for x in [self.value_of(e, name)] if x is not None]
         for x in held:
             if v is None or x == v:
                 self.cuts.setdefault(name, []).append((e, x))
-                self.adds[name] = [p for p in self.adds.get(name, []) if p != (e, x)]
+                if (e, name) in self.touched:
+                    self.adds[name] = [p for p in self.adds.get(name, []) if p != (e, x)]
+                self.touched.add((e, name))
                 self.facts.append((e, name, x, False))
                 if not a.many:
                     self.current[e, name] = None
