@@ -643,6 +643,54 @@ def test_crowded_buckets(spark, monkeypatch):
     assert bag(map(tuple, neardup.classes(df).collect())) == want
 
 
+def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
+    """Texts that share one bucket with very many others, and nothing else, are found; also where samples differ much."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(17)
+    rows = []
+    for g in range(25):
+        base = prose(rng, 80).split(" ")
+        for k in range(3):
+            copy = list(base)
+            copy[7 * k] = "changed"
+            rows.append((3 * g + k, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    real = neardup.signatures
+    monkeypatch.setattr(neardup, "signatures", lambda docs, idf: real(docs, idf).withColumn("bands", F.array(F.lit(1).cast("long"))))
+    monkeypatch.setattr(neardup, "CROWD", 4)
+    assert {(r.doc_id, r.class_id) for r in neardup.classes(df).collect()} == {(d, d - d % 3) for d, _ in rows}
+
+
+def test_prefixes_lose_no_pair(spark, monkeypatch):
+    """The join of what stays in mixed buckets finds every similar pair, also of texts that repeat shingles."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(19)
+    parts = [prose(rng, 30).replace("\n", " ") for _ in range(8)]
+    rows = [(i, " ".join(rng.choice(parts) for _ in range(rng.randint(3, 9)))) for i in range(150)]
+    rows = list({t: (i, t) for i, t in rows}.values())
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    idf = neardup.levels_of(*neardup.frequencies(df))
+    powers = 2.0 ** (np.arange(neardup.LEVELS) / neardup.GRID)
+    vectors = {d: (h, neardup.weigh(h, c, idf)) for d, t in rows for h, c in neardup.shingles(pa.array([t]))}
+    near = {(a, b) for a in vectors for b in vectors if a < b and neardup.similarity(vectors[a], vectors[b], powers) >= 0.6}
+    from pyspark.sql import functions as F
+
+    from triplane.llm.common import text_key
+
+    nodes = df.select(F.col("doc_id").alias("node"), *text_key(F.col("text")))
+    label = nodes.select("node", F.array(F.lit(1)).alias("bands"), F.col("node").alias("component"))
+    monkeypatch.setattr(neardup, "CROWD", 8)
+    found = [tuple(r) for r in neardup._likely_pairs(label, nodes, df, idf, 0.6).collect()]
+    assert len(near) > 20 and near <= set(found) and len(found) == len(set(found)) < len(rows) * (len(rows) - 1) / 2
+
+
 def test_samples_estimate_similarity():
     import numpy as np
 

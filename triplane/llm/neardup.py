@@ -6,8 +6,9 @@ such that two documents draw alike with the probability of their weighted Jaccar
 pairs; pairs are verified by that similarity, computed from the shingles; classes are the components of what is verified.
 
 Equal texts count as one from the start. In a band's bucket each member is paired with the bucket's first, which joins
-groups of any size by as many pairs as members. What buckets still hold in different classes is paired among classes, if
-the samples say that the pair may be similar enough; crowded buckets are parted first, by further bands.
+groups of any size by as many pairs as members. Of what buckets, however crowded, still hold in different classes every
+pair that is similar enough is found, by an exact join: shingles are put in one order, the rarest first, and a pair can only
+be similar if the two share one that comes before the last 80 % of either's weight.
 """
 
 from __future__ import annotations
@@ -37,15 +38,14 @@ GRID, LEVELS = 4, 64
 POOL = 1 << 16
 AT_ONCE = 2_000_000
 BROADCAST_ROWS = 1_000_000
-#: Buckets of more members are parted by a further band, at most PARTINGS times; a pair of similarity 0.8 shares a second
-#: band with probability 0.997, a third with 0.985.
-CROWD, PARTINGS = 256, 2
+#: Documents that share a shingle are met in blocks of about so many, all blocks with all others.
+CROWD = 256
 #: Pairs of one document that are verified in one part.
 HUB = 256
 #: Texts that a worker remembers, so that copies of one are not sampled again.
 REMEMBERED = 100_000
-#: Of 64 samples, shown in 4 bits each, so many may differ in a pair of similarity 0.8: 12 are expected, with deviation 3.
-MOST_DIFFERENT = 28
+#: Sums of weights that are added up in another order differ by less than this share.
+SLACK = 1e-9
 
 _rng = np.random.default_rng(77)
 _ORDER = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -126,9 +126,14 @@ def levels_of(slots: np.ndarray, docs: int) -> np.ndarray:
     return np.log2(1 + np.log((1 + RARE) / (share + RARE))).astype(np.float32)
 
 
+def _rarity(hashes: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The logarithm of each shingle's inverse document frequency. Of the sketch's rows the one of least count holds."""
+    return np.maximum.reduce([row[at] for row, at in zip(idf, _slots(hashes), strict=True)])
+
+
 def weigh(hashes: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Weights as levels: 2 ** (level / GRID) is the weight. Of the sketch's rows the one of least count holds."""
-    log = np.maximum.reduce([row[at] for row, at in zip(idf, _slots(hashes), strict=True)])
+    """Weights as levels: 2 ** (level / GRID) is the weight."""
+    log = _rarity(hashes, idf)
     if times.size and times.max() > 1:
         log = log + np.log2(times)
     return np.clip(np.rint(log * GRID), 0, LEVELS - 1).astype(np.uint8)
@@ -185,10 +190,9 @@ class Sampler:
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """Rows ``key_a, key_b, weight, digest, bands``: one or more per distinct text with a word."""
+    """Rows ``key_a, key_b, bands``: one or more per distinct text with a word."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(idf)
-    powers = 2.0 ** (np.arange(LEVELS) / GRID)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, number, met = Sampler(), np.arange(BANDS, dtype=np.uint64), Remembered()
@@ -197,27 +201,23 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
             batch = batch.take(pa.array(new, pa.int64()))
             texts = batch.column("text")
             for a, b in runs(texts, AT_ONCE):
-                rows, weight, digest, bands = [], [], [], []
+                rows, bands = [], []
                 for i, (hashes, times) in enumerate(shingles(texts.slice(a, b - a)), a):
                     if not len(hashes):
                         continue
-                    level = weigh(hashes, times, shared.value)
-                    samples = sampler.draw(hashes, level)
+                    samples = sampler.draw(hashes, weigh(hashes, times, shared.value))
                     rows.append(i)
-                    weight.append(powers[level].sum())
-                    small = (samples & np.uint64(15)).astype(np.uint8)
-                    digest.append((small[::2] | small[1::2] << 4).tobytes())
                     with np.errstate(over="ignore"):
                         band = mix((samples.reshape(BANDS, ROWS) * _ORDER[:ROWS]).sum(axis=1) + number)
                     bands.append(band.view(np.int64))
                 chosen = batch.select(["key_a", "key_b"]).take(pa.array(rows, pa.int64()))
                 lists = pa.ListArray.from_arrays(np.arange(0, BANDS * len(rows) + 1, BANDS, dtype=np.int32), np.concatenate(bands) if bands else np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(weight, pa.float64()), pa.array(digest, pa.binary()), lists], names=["key_a", "key_b", "weight", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([*chosen.columns, lists], names=["key_a", "key_b", "bands"])
         del sampler
         give_back()
 
     slim = docs.where(F.col("text").isNotNull()).select("text", *text_key(F.col("text")))
-    return slim.mapInArrow(run, "key_a long, key_b long, weight double, digest binary, bands array<long>")
+    return slim.mapInArrow(run, "key_a long, key_b long, bands array<long>")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], powers: np.ndarray) -> float:
@@ -227,6 +227,14 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / max(powers[a[1]].sum() + powers[b[1]].sum() - both, 1e-300))
 
 
+def _texts(asked: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows ``node, text`` of all documents whose text is one of the nodes ``asked``."""
+    asked = durable(asked.join(nodes.select("node", "key_a", "key_b"), "node"))
+    few = asked.count() <= BROADCAST_ROWS
+    texts = docs.where(F.col("text").isNotNull()).select("text", *text_key(F.col("text")))
+    return texts.join(F.broadcast(asked) if few else asked, ["key_a", "key_b"]).select("node", "text")
+
+
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, idf: np.ndarray, least: float = SIMILAR) -> DataFrame:
     """Those of ``pairs`` (``a, b``: nodes) whose similarity is ``least`` or more; ``nodes`` has each node's text key."""
     spark = docs.sparkSession
@@ -262,10 +270,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, idf: np.ndarray,
             yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
         give_back()
 
-    asked = durable(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "key_a", "key_b"), "node"))
-    few = asked.count() <= BROADCAST_ROWS
-    texts = docs.where(F.col("text").isNotNull()).select("text", *text_key(F.col("text")))
-    made = texts.join(F.broadcast(asked) if few else asked, ["key_a", "key_b"]).select("node", "text").mapInArrow(vectors, "node long, vector binary")
+    made = _texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes, docs).mapInArrow(vectors, "node long, vector binary")
     made = durable(made.groupBy("node").agg(F.first("vector").alias("vector")))  # copies of a text have one vector
     # A hub's pairs are spread over as many parts as they fill, each of which gets its vector once: it's no one task's, and its
     # vector isn't repeated on each of its rows.
@@ -278,34 +283,55 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, idf: np.ndarray,
 
 
 def _remaining(label: DataFrame) -> DataFrame:
-    """Rows ``key, node``: buckets that hold nodes of different components, crowded ones parted by what else nodes share."""
-    rows, found = label.select("node", "component", F.explode("bands").alias("band")).select("node", "component", F.array("band").alias("used"), F.col("band").alias("key")), None
-    for parting in range(PARTINGS + 1):
-        mixed = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least <> most")
-        held = durable(rows.join(mixed.select("key", "n"), "key"))
-        part = held.where(F.col("n") <= CROWD) if parting < PARTINGS else held  # what stays crowded is paired as it is
-        found = part.select("key", "node") if found is None else found.union(part.select("key", "node"))
-        crowded = held.where(F.col("n") > CROWD)
-        if parting == PARTINGS or crowded.isEmpty():
-            return found
-        wider = crowded.select("node", "component", "used").join(label.select("node", "bands"), "node")
-        wider = wider.select("node", "component", F.explode(F.array_except("bands", "used")).alias("band"), "used").select("node", "component", F.array_sort(F.array_append("used", F.col("band"))).alias("used"))
-        rows = wider.withColumn("key", F.xxhash64("used")).dropDuplicates(["key", "node"])
-
-
-def _likely_pairs(label: DataFrame, least: float) -> DataFrame:
-    """Rows ``a, b``: nodes of different components that share a bucket and whose weights and digests allow the similarity."""
-    digest = [F.conv(F.hex(F.substring("digest", 1 + 4 * i, 4)), 16, 10).cast("long").alias(f"d{i}") for i in range(8)]
-    held = durable(_remaining(label).distinct().join(label.select("node", "weight", "component", *digest), "node"))
-    x, y = held.alias("x"), held.alias("y")
-    differ = F.lit(0)
-    for i in range(8):  # a sample differs if any of its 4 bits does
-        d = F.col(f"x.d{i}").bitwiseXOR(F.col(f"y.d{i}"))
-        d = d.bitwiseOR(F.shiftright(d, 1))
-        d = d.bitwiseOR(F.shiftright(d, 2)).bitwiseAND(F.lit(0x11111111))
-        differ = differ + F.bit_count(d)
-    likely = (F.least("x.weight", "y.weight") >= least * F.greatest("x.weight", "y.weight")) & (differ <= MOST_DIFFERENT)
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & likely).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    """Rows ``key, node``: all members of the buckets that hold nodes of different components."""
+    rows = label.select("node", "component", F.explode("bands").alias("key"))
+    mixed = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    return rows.join(mixed.select("key"), "key").select("key", "node")
+
+
+def prefix(hashes: np.ndarray, times: np.ndarray, idf: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a text in the order of all shingles, and for each the weight from it to the last.
+
+    What two texts share weighs at least ``least`` of either's weight if they are that similar. So the first shingle they
+    share has that much behind it in both, itself included; shingles with less are not among the first.
+    """
+    order = np.argsort(-_rarity(hashes, idf), kind="stable")  # equally rare ones stay in the order of their hashes
+    weight = (2.0 ** (np.arange(LEVELS) / GRID))[weigh(hashes, times, idf)][order]
+    rest = weight[::-1].cumsum()[::-1]
+    n = int(np.count_nonzero(rest >= least * (1 - SLACK) * rest[0])) if len(rest) else 0
+    return hashes[order[:n]], rest[:n]
+
+
+def _likely_pairs(label: DataFrame, nodes: DataFrame, docs: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """Rows ``a, b``: nodes of different components, of buckets that hold such, that may be so similar; no other pairs of them are."""
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = Remembered()
+        for batch in batches:
+            batch = batch.take(pa.array([i for i, node in enumerate(batch.column("node").to_pylist()) if not met(node)], pa.int64()))
+            texts = batch.column("text")
+            for a, b in runs(texts, AT_ONCE):
+                found = [prefix(hashes, times, shared.value, least) for hashes, times in shingles(texts.slice(a, b - a))]
+                ends = np.cumsum([0, *(len(h) for h, _ in found)], dtype=np.int32)
+                first = pa.ListArray.from_arrays(ends, np.concatenate([h for h, _ in found]).view(np.int64))
+                rest = pa.ListArray.from_arrays(ends, np.concatenate([r for _, r in found]))
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), first, rest], names=["node", "first", "rest"])
+        give_back()
+
+    left = _remaining(label).select("node").distinct()
+    made = _texts(left, nodes, docs).mapInArrow(run, "node long, first array<long>, rest array<double>")
+    made = made.groupBy("node").agg(F.first(F.struct("first", "rest")).alias("x")).join(label.select("node", "component"), "node")  # copies of a text have one
+    rows = made.select("node", "component", F.col("x.rest")[0].alias("weight"), F.explode(F.arrays_zip("x.first", "x.rest")).alias("at"))
+    rows = durable(rows.select("node", "component", "weight", F.col("at.first").alias("shingle"), F.col("at.rest").alias("rest")))
+    many = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / CROWD).cast("int").alias("blocks")).where("low <> high")
+    held = durable(rows.join(many.select("shingle", "blocks"), "shingle").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x, y = held.withColumn("other", other).alias("x"), held.withColumn("other", other).alias("y")
+    same = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
+    # What they share from here on weighs no more than either's rest; this holds of the first shingle they share.
+    likely = F.least("x.rest", "y.rest") * (1 + least) >= least * (1 - SLACK) * (F.col("x.weight") + F.col("y.weight"))
+    return x.join(y, same & (F.col("x.component") < F.col("y.component")) & likely).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _joined(docs: DataFrame, least: float) -> DataFrame:
@@ -313,15 +339,15 @@ def _joined(docs: DataFrame, least: float) -> DataFrame:
     small_batches(docs.sparkSession)
     slots, n = frequencies(docs)
     idf = levels_of(slots, n)
-    found = signatures(docs, idf).groupBy("key_a", "key_b").agg(F.first("weight").alias("weight"), F.first("digest").alias("digest"), F.first("bands").alias("bands"))
+    found = signatures(docs, idf).groupBy("key_a", "key_b").agg(F.first("bands").alias("bands"))
     nodes = durable(found.withColumn("node", F.monotonically_increasing_id()))  # stored, so a node keeps its number
     banded = nodes.select("node", F.explode("bands").alias("band"))
     firsts = banded.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").select("band", "a")
     pairs = durable(banded.join(firsts, "band").where("node <> a").select("a", F.col("node").alias("b")).distinct())
     links = durable(verify(pairs, nodes, docs, idf, least))
     joined = components(links)
-    label = nodes.join(joined, "node", "left").select("node", "weight", "digest", "bands", F.coalesce("component", "node").alias("component"))
-    more = durable(_likely_pairs(label, least).join(pairs, ["a", "b"], "left_anti"))
+    label = nodes.join(joined, "node", "left").select("node", "bands", F.coalesce("component", "node").alias("component"))
+    more = durable(_likely_pairs(label, nodes, docs, idf, least).join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         joined = components(links.union(verify(more, nodes, docs, idf, least)))
     return durable(joined.join(nodes.select("node", "key_a", "key_b"), "node").select("key_a", "key_b", "component"))
