@@ -691,6 +691,33 @@ def test_prefixes_lose_no_pair(spark, monkeypatch):
     assert len(near) > 20 and near <= set(found) and len(found) == len(set(found)) < len(rows) * (len(rows) - 1) / 2
 
 
+def test_workers_hold_little():
+    """A worker that hashes a large batch of texts holds little memory meanwhile, and gets the same shingles."""
+    import random
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from triplane.llm import hashing
+
+    rng = random.Random(23)
+    texts = pa.array([prose(rng, 1000) for _ in range(400)])
+    whole = [h for h, _ in neardup.shingles(texts)]
+    for name in hashing._powers:
+        hashing._powers[name] = np.ones(1, np.uint64)
+    tracemalloc.start()
+    at = 0
+    for a, b in hashing.runs(texts, neardup.AT_ONCE):
+        for h, _ in neardup.shingles(texts.slice(a, b - a)):
+            assert np.array_equal(h, whole[at])
+            at += 1
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print(texts.nbytes, most)
+    assert at == len(texts) and texts.nbytes > 2_000_000 and most < 40_000_000
+
+
 def test_samples_estimate_similarity():
     import numpy as np
 

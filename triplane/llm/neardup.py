@@ -36,7 +36,8 @@ RARE = 0.001
 #: Weights are rounded to powers of 2 ** (1 / GRID); LEVELS of them, the last for all that is larger.
 GRID, LEVELS = 4, 64
 POOL = 1 << 16
-AT_ONCE = 2_000_000
+#: Bytes of texts that are hashed at once: some 70 times as much memory is held meanwhile.
+AT_ONCE = 250_000
 BROADCAST_ROWS = 1_000_000
 #: Documents that share a shingle are met in blocks of about so many, all blocks with all others.
 CROWD = 256
