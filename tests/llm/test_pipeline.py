@@ -85,3 +85,28 @@ def test_rows_of_one_id(spark):
     rows = spark.createDataFrame([(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, a, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.drop_near_duplicates(spark, rows, "").collect()
     assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, a), (1, b)])
+
+
+def test_crowded_near_duplicates_go(spark, monkeypatch, tmp_path):
+    """Of near-duplicates that share one bucket with many other texts, and no further one, one stays."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tests.llm.conftest import prose
+    from triplane.llm import neardup
+
+    rng = random.Random(29)
+    rows = []
+    for g in range(15):
+        base = prose(rng, 80).split(" ")
+        for k in range(3):
+            copy = list(base)
+            copy[7 * k] = "changed"
+            rows.append((3 * g + k, " ".join(copy), "en"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    real = neardup.signatures
+    monkeypatch.setattr(neardup, "signatures", lambda docs, idf: real(docs, idf).withColumn("bands", F.array(F.lit(1).cast("long"))))
+    monkeypatch.setattr(neardup, "CROWD", 4)
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, df, str(tmp_path)).collect()
+    assert sorted(map(tuple, kept)) == [r for r in rows if r[0] % 3 == 0]
