@@ -110,3 +110,30 @@ def test_crowded_near_duplicates_go(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(neardup, "CROWD", 4)
     kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, df, str(tmp_path)).collect()
     assert sorted(map(tuple, kept)) == [r for r in rows if r[0] % 3 == 0]
+
+
+def test_long_repetition_is_no_near_duplicate(spark, tmp_path):
+    """Texts that repeat words many thousand times, some of them four times as often as others, all stay."""
+    phrase = "buy this thing now or never "
+    rows = [(1, "spam " * 50_000, "en"), (2, "spam " * 200_000, "en"), (3, phrase * 50_000, "en"), (4, phrase * 200_000, "en"), (5, phrase * 201_000, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, df, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2, 3, 4]
+
+
+def test_no_pattern_of_substitutions_hides_a_leak(spark, tmp_path):
+    """Of items of 13 tokens and more, a stretch with any three tokens substituted goes; with four it stays."""
+    from itertools import combinations
+
+    items = {n: [f"w{n}x{i}" for i in range(n)] for n in (13, 14, 19, 20, 40)}
+    rows, kept = [], []
+    for n, tokens in items.items():
+        at = (n - 13) // 2
+        for spoiled in combinations(range(13), 3):
+            rows.append((len(rows), "some words " + " ".join("other" if i in spoiled else t for i, t in enumerate(tokens[at : at + 13])) + " and more"))
+        kept.append((len(rows), "some words " + " ".join("other" if i in (1, 4, 7, 10) else t for i, t in enumerate(tokens[at : at + 13])) + " and more"))
+        rows.append(kept[-1])
+    spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dict(corpus_pipeline.STAGES)["benchmark"](spark, df, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == kept

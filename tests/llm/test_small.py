@@ -735,6 +735,25 @@ def test_samples_estimate_similarity():
         assert abs(np.mean(equal) - np.mean(wanted)) < 0.03
 
 
+def test_weights_have_no_bound(monkeypatch):
+    """Shingles that a text has many thousand times weigh in proportion; draws that no table has are those of a table."""
+    import numpy as np
+    import pyarrow as pa
+
+    idf = neardup.levels_of(np.zeros((neardup.SKETCH, 1 << neardup.SLOT_BITS), np.int64), 1000)
+    powers = 2.0 ** (np.arange(neardup.LEVELS) / neardup.GRID)
+    many, more, most = ((h, neardup.weigh(h, c, idf)) for h, c in neardup.shingles(pa.array(["spam " * n for n in (8000, 32_000, 1_000_000)])))
+    assert abs(neardup.similarity(many, more, powers) - 1 / 4) < 0.03 and abs(neardup.similarity(more, most, powers) - 0.032) < 0.005
+    rng = np.random.default_rng(3)
+    hashes = np.sort(rng.integers(0, 2**63, 5000, dtype=np.uint64))
+    level = rng.integers(0, 64, 5000).astype(np.uint8)
+    tabled, s = neardup.Sampler().draw(hashes, level), neardup.Sampler()
+    high = level + np.uint8(40)  # all weights times 1024, as if a text were repeated
+    assert np.mean(s.draw(hashes, high) == s.draw(hashes, high - np.uint8(1))) > 0.7  # of similarity 0.84
+    monkeypatch.setattr(neardup, "TABLED", 9)
+    assert np.array_equal(neardup.Sampler().draw(hashes, level), tabled)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -3,7 +3,8 @@
 Fixed masks choose some of the token positions in a span and ignore the others; the chosen tokens of every place in every
 document and benchmark item are hashed, and equal hashes are hits. A hit fixes how document and item would lie over each
 other; along that alignment all tokens of the item are compared, so substituted tokens neither hide a passage nor end it.
-Masks leave few or no seeds to short items; those have seeds of adjacent tokens too, so short that one is always intact.
+Wherever a stretch may differ from a document that holds it, some place of some mask is intact. Masks leave few or no seeds to
+items shorter than that; those have seeds of adjacent tokens too, so short that one is always intact.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from pyspark.sql import functions as F
 
 from triplane.llm.common import durable, fresh, once, table, text_key
 
-#: Chosen positions of each mask. Substitutions that spoil every place of one mask rarely spoil those of the others.
-MASKS = ((0, 1, 2, 4, 7), (0, 2, 3, 6, 8), (0, 1, 4, 5, 9))
+#: Chosen positions of each mask. No pattern of the substitutions that SHARE allows in STRETCH tokens spoils every place of all.
+MASKS = ((0, 1, 2, 4, 7), (0, 2, 3, 6, 8), (0, 1, 4, 5, 9), (0, 4, 5, 6, 7))
 #: A document holds an item if in some stretch of STRETCH of the item's tokens (all of a shorter one's) this share is equal.
 STRETCH, SHARE = 13, 0.75
-#: Items of fewer tokens have seeds of adjacent tokens too; of longer ones masks miss few patterns of substitutions.
-LONG = 20
+#: Items of fewer tokens have seeds of adjacent tokens too; of others masks miss no pattern of substitutions.
+LONG = STRETCH
 TOKEN = r"[\p{L}\p{N}]+"
 BROADCAST_ROWS = 400_000
 #: Of more seeds than those, the hashes alone are broadcast up to this number (16 bytes each).

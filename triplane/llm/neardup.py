@@ -33,8 +33,9 @@ SAMPLES = BANDS * ROWS
 SLOT_BITS, SKETCH, PARTS = 18, 3, 16
 #: Shingles in less than about this share of the documents weigh alike: the scale at which boilerplate begins.
 RARE = 0.001
-#: Weights are rounded to powers of 2 ** (1 / GRID); LEVELS of them, the last for all that is larger.
-GRID, LEVELS = 4, 64
+#: Weights are rounded to powers of 2 ** (1 / GRID); of LEVELS no text is long enough to need more. Draws of the first TABLED
+#: levels are kept in tables, those of shingles that a text has some thousand times are computed.
+GRID, LEVELS, TABLED = 4, 256, 64
 POOL = 1 << 16
 #: Bytes of texts that are hashed at once: some 70 times as much memory is held meanwhile.
 AT_ONCE = 250_000
@@ -160,17 +161,25 @@ class Sampler:
 
     For shingle x of weight w and draw k, with r and c of Gamma(2, 1) and b uniform, all fixed by x and k:
     t = floor(ln w / r + b), y = exp(r (t - b)), a = c / (y exp(r)). The draw is the x, t of least a. The variates come
-    from a pool of POOL triples that x and k choose from, so ln a is a table by weight level and triple.
+    from a pool of POOL triples that x and k choose from, so ln a is a table by weight level and triple; a place is a level
+    times POOL plus a triple.
     """
 
     def __init__(self) -> None:
         rng = np.random.default_rng(4242)
         r, c, b = rng.gamma(2, 1, POOL), rng.gamma(2, 1, POOL), rng.random(POOL)
-        self.a, self.t = np.empty(LEVELS * POOL, np.float32), np.empty(LEVELS * POOL, np.int32)
-        for level in range(LEVELS):
-            t = np.floor(level * (np.log(2) / GRID) / r + b)
+        self.r, self.log_c, self.b = r, np.log(c), b
+        self.a, self.t = np.empty(TABLED * POOL, np.float32), np.empty(TABLED * POOL, np.int32)
+        for level in range(TABLED):
             own = slice(level * POOL, (level + 1) * POOL)
-            self.a[own], self.t[own] = np.log(c) - r * (t - b + 1), t
+            self.a[own], self.t[own] = self._values(np.arange(own.start, own.stop))
+
+    def _values(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ln a and t at some places, whether tables have them or not."""
+        level, triple = place // POOL, place % POOL
+        r, b = self.r[triple], self.b[triple]
+        t = np.floor(level * (np.log(2) / GRID) / r + b)
+        return (self.log_c[triple] - r * (t - b + 1)).astype(np.float32), t.astype(np.int32)
 
     def draw(self, hashes: np.ndarray, level: np.ndarray) -> np.ndarray:
         """The samples, each as a hash of its shingle and t. Equal a: the lesser hash."""
@@ -179,7 +188,7 @@ class Sampler:
             for i in range(0, len(hashes), 2048):
                 place = ((hashes[i : i + 2048, None] * _DRAW) >> np.uint64(48)).astype(np.int64)
                 place += base[i : i + 2048, None]
-                a = self.a.take(place)
+                a = self.a.take(place) if level[i : i + 2048].max() < TABLED else self._values(place)[0]
                 row = a.argmin(axis=0)
                 least, where = a[row, np.arange(SAMPLES)], place[row, np.arange(SAMPLES)]
                 if best is None:
@@ -187,7 +196,8 @@ class Sampler:
                 else:
                     better = least < best
                     best, at, won = np.where(better, least, best), np.where(better, where, at), np.where(better, row + i, won)
-            return mix(hashes[won] + self.t[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            t = self.t[at] if at.max() < len(self.t) else self._values(at)[1]
+            return mix(hashes[won] + t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
