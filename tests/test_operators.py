@@ -648,3 +648,18 @@ def test_service(spark, tmp_path):
     assert ask("get-range", kv=store, name="t", range=[":at-least", 2])["result"]["rows"] == [[2, "b"]] and ask("list-dbis", kv=store)["result"] == ["t"]
     bad = ask("q", conn=conn, query="[:find ?x :where [?e :absent ?x]]")
     assert not bad["ok"] and "absent" in bad["error"] and not ask("nothing")["ok"] and ask("close", handle=conn)["ok"]
+
+
+def test_postings_are_made_document_by_document(spark):
+    rows = spark.createDataFrame([*TEXTS, (77, "red fox red"), (78, "the"), (79, None)], "doc long, text string")
+    made = search.postings(rows)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Aggregate", "Sort ", "Join", "Window"))
+    assert sorted((r.term, r.tf, r.positions, r.norm) for r in made.where("doc = 77").collect()) == [("fox", 1, [1], 2), ("red", 2, [0, 2], 2)]
+    assert made.where("doc > 77").isEmpty()
+
+
+def test_an_id_with_more_texts_is_one_document(spark):
+    made = search.build(spark.createDataFrame([(1, "red fox"), (1, "red hen"), (2, "red"), (None, "red")], "doc long, text string"))
+    assert sorted((r.doc, r.term, r.tf, r.positions, r.norm) for r in made.postings.collect()) == [(1, "fox", 1, [1], 3), (1, "hen", 1, [1], 3), (1, "red", 2, [0, 0], 3), (2, "red", 1, [0], 1)]
+    assert made.size == 2

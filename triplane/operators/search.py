@@ -3,7 +3,7 @@
 The index of a domain has a row per document and term with its frequency and positions and the document's number of
 distinct terms. It is kept: texts are analysed once, when it's built. A search filters postings to the terms asked for,
 groups them by document, and takes the top by the number of required terms found and then by score; of a saved index it
-reads only the files and row groups of its terms.
+reads only the pages of its terms.
 """
 
 from __future__ import annotations
@@ -77,42 +77,96 @@ class Index:
         return Index(self.postings.limit(0), 0)
 
     def save(self, path: str) -> None:
-        """Writes the index. Postings lie sorted by term, so a search reads only the files and row groups of its terms.
-
-        The size is written last: a folder that has it is whole.
-        """
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
-        self.postings.sparkSession.range(1).select(F.lit(self.size).cast("long").alias("size")).coalesce(1).write.mode("overwrite").parquet(f"{path}/size")
+        """Writes the index. Postings lie sorted by term, so a search reads only the files and row groups of its terms."""
+        self.postings.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
+        _sized(self.postings.sparkSession, self.size, path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
         return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/size").first()[0])
 
 
+def words(text: Column) -> Column:
+    r"""Terms as ``\b`` of a regular expression bounds them: runs of ASCII letters, digits and ``_``, in lower case.
+
+    Places are adjacent only if a single space is between, so a phrase is found as it's written.
+    """
+    parts = F.split(F.lower(F.regexp_replace(text, "[^0-9A-Za-z_ ]", "  ")), " ")
+    return F.filter(F.transform(parts, lambda w, i: F.struct(w.alias("term"), i.alias("position"))), lambda x: x["term"] != "")
+
+
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``x``, which is computed once however often ``f`` uses it."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _grouped(placed: Column) -> Column:
+    """A document's terms with ``tf``, positions and norm: its places sorted by term, cut where the term changes."""
+
+    def cut(found: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: (i == 0) | (found[i]["term"] != F.get(found, i - 1)["term"]))
+        return _let(begins, lambda at: F.transform(at, lambda i, k: run(found, i, F.coalesce(F.get(at, k + 1), F.size(found)) - i, F.size(at))))
+
+    def run(found: Column, i: Column, n: Column, norm: Column) -> Column:
+        places = F.transform(F.slice(found, i + 1, n), lambda x: x["position"])
+        return F.struct(found[i]["term"].alias("term"), n.cast("long").alias("tf"), places.alias("positions"), norm.cast("long").alias("norm"))
+
+    return _let(F.sort_array(placed), lambda found: F.when(F.size(found) > 0, cut(found)))
+
+
+def postings(rows: DataFrame, analyzer: Callable[[Column], Column] = tokens) -> DataFrame:
+    """Rows ``doc, term, tf, positions, norm`` of ``doc, text``, each document by itself: none is shuffled or kept.
+
+    Only if an id comes more than once are its rows brought together.
+    """
+    rows = rows.where("doc is not null")
+    listed = rows.where("text is not null").select("doc", F.explode(_grouped(analyzer(F.col("text")))).alias("t")).select("doc", "t.*")
+    if rows.groupBy("doc").count().where("count > 1").isEmpty():
+        return listed
+    merged = listed.groupBy("doc", "term").agg(F.sum("tf").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return merged.withColumn("norm", F.count("*").over(Window.partitionBy("doc")))
+
+
 def build(rows: DataFrame, analyzer: Callable[[Column], Column] = tokens) -> Index:
     """An index of ``doc, text``, stored in the shared folder; documents without a term are not indexed."""
-    listed = rows.where("text is not null").select("doc", F.explode(analyzer(F.col("text"))).alias("t")).select("doc", "t.term", "t.position")
-    postings = durable(listed.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions")))
-    norms = postings.groupBy("doc").agg(F.count("*").alias("norm"))
-    return Index(durable(postings.join(norms, "doc")), norms.count())
+    made = durable(postings(rows, analyzer))
+    return Index(made, made.select("doc").distinct().count())
+
 
+#: Bytes of a table's files whose documents a segment of its kept index has.
+SEGMENT = 8_000_000
 
-def kept(rows: DataFrame, name: str) -> Index:
-    """The saved index of a table's ``doc, text`` in the shared folder; built if there is none for the files as they are."""
+
+def kept(rows: DataFrame, name: str, analyzer: Callable[[Column], Column] = tokens) -> Index:
+    """The saved index of a table's ``doc, text`` in the shared folder; built if there is none for the files as they are.
+
+    ``name`` tells indexes of the same files apart, such as by other analysers. The index is made in segments: a task analyses
+    some documents and writes their postings sorted by term, small enough to be sorted in memory. A search reads of each segment
+    the pages of its terms.
+    """
     spark = rows.sparkSession
     files = spark._jvm.org.apache.hadoop.fs
-    stamp = [name]
+    stamp, size = [name], 0
     for f in sorted(rows.inputFiles()):
         path = files.Path(f)
         status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
         stamp.append(f"{f} {status.getLen()} {status.getModificationTime()}")
+        size += status.getLen()
     folder = f"{shared_folder(spark).rsplit('/', 1)[0]}/indexes/{hashlib.sha256(chr(10).join(stamp).encode()).hexdigest()[:32]}"
     done = files.Path(f"{folder}/size/_SUCCESS")
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        build(rows).save(folder)
+        parted = rows.repartition(-(-size // SEGMENT) or 1, "doc")
+        postings(parted, analyzer).sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{folder}/postings")
+        written = spark.read.parquet(f"{folder}/postings")
+        _sized(spark, written.select("doc").distinct().count(), folder)
     return Index.load(spark, folder)
 
 
+def _sized(spark: SparkSession, size: int, path: str) -> None:
+    """Written last: a folder that has it is whole."""
+    spark.range(1).select(F.lit(size).cast("long").alias("size")).coalesce(1).write.mode("overwrite").parquet(f"{path}/size")
+
+
 def _required(query: Any) -> list[str]:
     """Terms that count for ranking: all but those under :not."""
     if isinstance(query, str):
