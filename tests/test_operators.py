@@ -663,3 +663,18 @@ def test_an_id_with_more_texts_is_one_document(spark):
     made = search.build(spark.createDataFrame([(1, "red fox"), (1, "red hen"), (2, "red"), (None, "red")], "doc long, text string"))
     assert sorted((r.doc, r.term, r.tf, r.positions, r.norm) for r in made.postings.collect()) == [(1, "fox", 1, [1], 3), (1, "hen", 1, [1], 3), (1, "red", 2, [0, 0], 3), (2, "red", 1, [0], 1)]
     assert made.size == 2
+
+
+ODD_WORDS = ["license mitöst", "License, mitten", "the LICENSE-MIT", "my-license x", "a_license", "license mit_x", "general public license", "General Public\nLicense", "general  public license", "a general, public license", "«general public license»", "gno-general public license.", "generals public license", None, ""]
+
+
+@pytest.mark.parametrize("name", ["search_boolean", "search_phrase", "fulltext_pattern"])
+def test_words_are_bounded_as_in_sql(spark, tmp_path, name):
+    import duckdb
+
+    from triplane.queries import QUERIES, SQL
+
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(ODD_WORDS)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(duck.execute(SQL[name]).fetchall())

@@ -219,9 +219,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> search.Index:
     return search.kept(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("doc"), "text"), "documents.text")
 
 
+def _words(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The documents' words as regular expressions bound them."""
+    return search.kept(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("doc"), "text"), "documents.text by words", search.words)
+
+
 native("search_terms", _term_sql(["license", "idiot", "version"], 10))(lambda s, d: search.search(_documents(s, d), "license idiot version", 10).withColumn("score", F.round("score", 6)))
-native("search_boolean", "SELECT DISTINCT doc_id AS doc FROM documents WHERE regexp_matches(text, '(?i)\\blicense\\b') AND NOT regexp_matches(text, '(?i)\\bmit\\b')")(lambda s, d: search.search(_documents(s, d), [":and", "license", [":not", "mit"]], None).select("doc"))
-native("search_phrase", "SELECT doc_id AS doc FROM documents WHERE regexp_matches(text, '(?i)\\bgeneral public license\\b')")(lambda s, d: search.search(_documents(s, d), {":phrase": "general public license"}, None).select("doc"))
+native("search_boolean", "SELECT DISTINCT doc_id AS doc FROM documents WHERE regexp_matches(text, '(?i)\\blicense\\b') AND NOT regexp_matches(text, '(?i)\\bmit\\b')")(lambda s, d: search.search(_words(s, d), [":and", "license", [":not", "mit"]], None).select("doc"))
+native("search_phrase", "SELECT doc_id AS doc FROM documents WHERE regexp_matches(text, '(?i)\\bgeneral public license\\b')")(lambda s, d: search.search(_words(s, d), {":phrase": "general public license"}, None).select("doc"))
 
 _NEAR = {"euclidean": "list_sum(list_transform(list_zip(e, t), lambda x: (x[1] - x[2]) * (x[1] - x[2])))", "cosine": "1 - list_sum(list_transform(list_zip(e, t), lambda x: x[1] * x[2])) / sqrt(list_sum(list_transform(e, lambda x: x * x)) * list_sum(list_transform(t, lambda x: x * x)))", "dot-product": "1 - list_sum(list_transform(list_zip(e, t), lambda x: x[1] * x[2]))"}
 for _metric, _sql in _NEAR.items():
@@ -247,7 +252,7 @@ def _idoc_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
 @native("fulltext_pattern", "SELECT doc_id AS d, lang AS l FROM documents WHERE regexp_matches(text, '(?i)\\blicense\\b') AND lang = 'en'")
 def _fulltext_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = open_star(spark, sf_dir, "documents")
-    db.indexes[":documents/text"] = _documents(spark, sf_dir)
+    db.indexes[":documents/text"] = _words(spark, sf_dir)
     return q('[:find ?d ?l :where [?d :documents/lang ?l] [(= ?l "en")] [(fulltext $ :documents/text "license" {:top nil}) [[?d _ _]]]]', db)
 
 
