@@ -8,6 +8,7 @@ those of :with before anything is aggregated.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from typing import Any
@@ -109,11 +110,39 @@ class Relations:
         return df
 
 
+#: Pairs of rows that a task of a join makes, about, where a value meets many rows on both sides.
+PAIRS = 4_000_000
+
+
+def _parted(a: DataFrame, b: DataFrame, shared: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of a join of many rows with many, and the columns to join by: spread over tasks by the pairs they make.
+
+    Pairs are counted first. A value of too many is a grid of cells: each row of one side has a line of it, of the other a column.
+    """
+    each = lambda df, n: df.groupBy(*map(c_, shared)).agg(F.count("*").cast("double").alias(n))
+    met = each(a, "_a").join(each(b, "_b"), shared).withColumn("_pairs", F.col("_a") * F.col("_b"))
+    total = met.agg(F.sum("_pairs")).first()[0] or 0.0
+    if total <= PAIRS:
+        return a, b, shared
+    grid = met.where(F.col("_pairs") > PAIRS).select(*map(c_, shared), F.ceil(F.sqrt(F.col("_pairs") / PAIRS)).cast("int").alias("_side"))
+    grid = a.sparkSession.createDataFrame(grid.collect(), grid.schema)  # at most total / PAIRS rows
+    tasks, by = math.ceil(total / PAIRS), [*shared, "_line", "_column"]
+
+    def spread(df: DataFrame, own: str, other: str) -> DataFrame:
+        side = F.coalesce("_side", F.lit(1))
+        laid = df.join(F.broadcast(grid), shared, "left").select(*map(c_, df.columns), F.pmod(F.xxhash64(*map(c_, df.columns)), side).cast("int").alias(own), F.explode(F.sequence(F.lit(0), side - 1)).alias(other))
+        return laid.repartition(tasks, *map(c_, by))
+
+    return spread(a, "_line", "_column"), spread(b, "_column", "_line"), by
+
+
 def _natural(a: DataFrame, b: DataFrame, shared: list[str]) -> DataFrame:
-    right = b.select(*(c_(c).alias(f"{c}'") if c in shared else c_(c) for c in b.columns))
-    on = [a[f"`{c}`"] == right[f"`{c}'`"] for c in shared]
-    joined = a.join(right, on).drop(*(f"{c}'" for c in shared))
-    ka, kb = key_of(a), key_of(b)
+    ka, kb, by = key_of(a), key_of(b), shared
+    if ka is not None and kb is not None and not (ka <= set(shared) or kb <= set(shared) or a.isStreaming or b.isStreaming):
+        a, b, by = _parted(a, b, shared)
+    right = b.select(*(c_(c).alias(f"{c}'") if c in by else c_(c) for c in b.columns))
+    on = [a[f"`{c}`"] == right[f"`{c}'`"] for c in by]
+    joined = a.join(right, on).drop(*(f"{c}'" for c in by), *(c for c in by if c not in shared))
     if ka is None or kb is None:
         return joined
     # A row meets one row at most of a side whose key is among the shared variables.
