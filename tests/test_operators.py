@@ -678,3 +678,11 @@ def test_words_are_bounded_as_in_sql(spark, tmp_path, name):
     duck = duckdb.connect()
     duck.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(duck.execute(SQL[name]).fetchall())
+
+
+def test_shares_take_a_vectors_total_once(spark):
+    from triplane import queries_more
+
+    rows = queries_more._derived(spark, "/root/testdata/sf0.001").select("shares")
+    assert "/ aggregate(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(rows.first().shares) == pytest.approx(1)

@@ -204,8 +204,9 @@ def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors that each metric takes: bits, shares and places."""
     x = F.col("embedding").cast("array<double>")
     total = F.aggregate(x, F.lit(0.0), lambda s, v: s + F.abs(v))
+    shares = F.transform(F.array(total), lambda t: F.transform(x, lambda v: F.abs(v) / t))[0]  # the total once a vector, not once an element
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return rows.select("vec_id", x.alias("plain"), F.transform(x, lambda v: F.when(v > 0, 1.0).otherwise(0.0)).alias("bits"), F.transform(x, lambda v: F.abs(v) / total).alias("shares"), F.array(x[0] * 40, x[1] * 90).alias("places"))
+    return rows.select("vec_id", x.alias("plain"), F.transform(x, lambda v: F.when(v > 0, 1.0).otherwise(0.0)).alias("bits"), shares.alias("shares"), F.array(x[0] * 40, x[1] * 90).alias("places"))
 
 
 _D = """WITH r AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), v AS (SELECT vec_id, x AS plain, list_transform(x, lambda y: CASE WHEN y > 0 THEN 1 ELSE 0 END::DOUBLE) AS bits,
