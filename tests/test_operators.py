@@ -686,3 +686,12 @@ def test_shares_take_a_vectors_total_once(spark):
     rows = queries_more._derived(spark, "/root/testdata/sf0.001").select("shares")
     assert "/ aggregate(" not in rows._jdf.queryExecution().optimizedPlan().toString()
     assert sum(rows.first().shares) == pytest.approx(1)
+
+
+def test_prefixes_are_indexed_without_a_shuffle(spark):
+    from triplane.operators import analysis as a
+
+    rows = spark.createDataFrame([(i, f"size{i}") for i in range(30)], "doc long, text string")
+    made = search.postings(rows, a.create_analyzer(filters=[a.lower_case, a.prefixes]))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert made.where("term = 'size1'").count() == 11
